@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, token_counts
+from millrace.llm import near_dup, packing, token_counts
 from millrace.llm.common import table
 
 
@@ -17,5 +17,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_token_counts)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Forest(shingle=4, percent=80))
+
+
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_token_counts, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
