@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import near_dup, packing, token_counts
+from millrace.llm import jpeg_media, near_dup, packing, token_counts, warc
 from millrace.llm.common import table
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.rewritten(table(spark, sf_dir, "pages"), least=1000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), packing.Limits(tokens=2048))
 
@@ -17,9 +21,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.media(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Forest(shingle=4, percent=80))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_token_counts, op10_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_best_fit_packing, op7_token_counts, op9_jpeg_media, op10_minhash_near_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": """
+        with payloads as (select page_id, coalesce(html, '') as payload from pages),
+        digests as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest from payloads),
+        lasts as (select *, max(page_id) over (partition by payload_digest) as last_id from digests)
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 1000 and page_id is distinct from last_id then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 1000 and page_id is distinct from last_id then last_id end as refers_to
+        from lasts""",
+}
