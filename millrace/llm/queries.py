@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import jpeg_media, near_dup, packing, token_counts, warc
+from millrace.llm import fingerprints, jpeg_media, near_dup, packing, pii, token_counts, warc
 from millrace.llm.common import table
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewritten(table(spark, sf_dir, "pages"), least=1000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -21,6 +25,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"), k=64)
+
+
 def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Forest(shingle=4, percent=80))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_best_fit_packing, op7_token_counts, op9_jpeg_media, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_weak_pii, op3_warc_revisits, op4_best_fit_packing, op7_token_counts, op8_bottom_k, op9_jpeg_media, op10_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_revisits": """
