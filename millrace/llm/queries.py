@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, jpeg_media, mixing, near_dup, packing, pii, quality, token_counts, warc
+from millrace.llm import fingerprints, jpeg_media, mixing, near_dup, packing, pii, pitman_yor, quality, token_counts, warc
 from millrace.llm.common import fold_column, table
 
 
@@ -26,6 +26,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), packing.Limits(tokens=2048))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_column("doc_id", 5) == 1
+    found = pitman_yor.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUALITY_LEAST = 0.7
 
 
@@ -51,7 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Forest(shingle=4, percent=80))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_pii, op2_raked_mixture, op3_warc_revisits, op4_best_fit_packing, op6_quality, op7_token_counts, op8_bottom_k, op9_jpeg_media, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_weak_pii, op2_raked_mixture, op3_warc_revisits, op4_best_fit_packing, op5_pitman_yor, op6_quality, op7_token_counts, op8_bottom_k, op9_jpeg_media, op10_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_raked_mixture": mixing.sql(),
