@@ -58,10 +58,25 @@ SHRINK = 4.0
 SIZES = (3, 3, 3, 3, 3, 6, 6, 4)
 
 
+#: What a text must have for a pattern to match anywhere; most texts have none of it and are spared the patterns.
+NEEDS = {
+    "email": "contains(text, '@')",
+    "ip": "rlike(text, '[0-9][.][0-9]')",
+    "card": "rlike(text, '[0-9][ -]?[0-9]')",
+    "phone": "contains(text, '+')",
+}
+LOOSELY_NEEDS = {
+    "email": "rlike(text, '(?i)[( \\\\[]dot[) \\\\]]') and rlike(text, '(?i)[( \\\\[]at[) \\\\]]')",
+    "ip": "rlike(text, '[0-9A-Fa-f]:[0-9A-Fa-f]')",
+    "phone": "rlike(text, '[0-9]{3}[ .-][0-9]{4}')",
+}
+
+
 def _matches(kind: str, pattern: str, base: bool) -> str:
     """SQL for an array of the matches of a pattern in the column text, with their places and what is around them."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""
+    need, none = (NEEDS if base else LOOSELY_NEEDS)[kind], f"cast(array() as array<{SPAN}>)"
+    return f"""case when not ({need}) then {none} else
         aggregate(
             transform(regexp_extract_all(text, '{p}', 0), (h, i) -> struct(h, i)),
             named_struct('at', 0, 'gaps', split(text, '{p}', -1), 'out', cast(array() as array<{SPAN}>)),
@@ -71,7 +86,7 @@ def _matches(kind: str, pattern: str, base: bool) -> str:
                 'out', concat(s.out, array(named_struct(
                     'kind', '{kind}', 'start', s.at + length(s.gaps[x.i]), 'end', s.at + length(s.gaps[x.i]) + length(x.h), 'hit', x.h,
                     'before', right(s.gaps[x.i], 24), 'after', left(s.gaps[x.i + 1], 1), 'strict', {str(base).lower()})))),
-            s -> s.out)"""
+            s -> s.out) end"""
 
 
 SPAN = "struct<kind:string,start:int,end:int,hit:string,before:string,after:string,strict:boolean>"
