@@ -1,13 +1,353 @@
-"""Queries over the driver's tables, one for each operator, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, one or more for each operator, with the SQL that gives the same rows.
+
+The tables hold no Russian posts, so dates are written into texts here from date columns, and the SQL takes the columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from millrace.functions import dates, rules, text
+from millrace.operators import dedup, extract, guards, pipeline, results, snapshot
+from millrace.operators.storage import kept
+from millrace.schemas import EVENT_TYPES, MONTH_FORMS
+
+def _day() -> Column:
+    return F.lit("2024-01-01").cast("date")
+
+
+MONTH_NAMES = [a for a, _ in MONTH_FORMS]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("post_pos"), "text", none.alias("raw_text"), F.col("source").alias("source_name"), none.alias("source_url"),
+        F.lit("2024-01-01T00:00:00").alias("published_at"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("vk:wall-7_"), F.floor(F.col("doc_id") / 10))).alias("external_id"), F.lit(False).alias("is_pinned"),
+    )
+
+
+def _day_text(c: Column, sign: str = " ") -> Column:
+    """As "5 июня"."""
+    return F.concat(F.dayofmonth(c).cast("string"), F.lit(sign), F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.month(c)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"))
+    """Customers' notices as posts, through guards, stored answers, repair and validation, to deduplicated events."""
+    at = F.date_add(_day(), (F.col("c_custkey") % 300).cast("int"))
+    none = F.lit(None).cast("string")
+    posts = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("post_pos"), F.concat(F.lit("Клуб "), F.col("c_custkey") % 600, F.lit(". Ждем "), _day_text(at), F.lit(" в 18:00, билет "), "c_custkey").alias("text"), none.alias("raw_text"),
+        F.col("c_mktsegment").alias("source_name"), none.alias("source_url"), F.date_format(F.date_sub(at, 3), "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), F.concat(F.lit("vk:wall-1_"), "c_custkey").alias("external_id"), F.lit(False).alias("is_pinned"),
+    )
+    answer = F.to_json(F.struct(F.lit(True).alias("is_event"), F.struct(F.regexp_extract("text", "^[^.]*", 0).alias("title"), F.lit("BusinessEvent").alias("event_type")).alias("event")))
+    answered = guards.guarded(posts, _day()).withColumns({"response": F.when(F.col("guard").isNull(), answer), "error": F.lit(None).cast("string")})
+    events = pipeline.finished(kept(extract.outcomes(answered, _day())), pipeline.Settings()).events
+    return events.select("outcome_index", "title", "start_at", "event_type", "duplicate_of")
+
+
+QUERIES: dict = {"extract_and_dedup": flagship}
+#: Customers of one club meet on days of a year that differ by 300, if at all, so the same club and day is one event.
+ORACLE_SQL: dict[str, str] = {
+    "extract_and_dedup": """with c as (select c_custkey as k, c_custkey % 600 as club, date '2024-01-01' + (c_custkey % 300)::int as day from customer),
+        n as (select *, row_number() over (order by k) - 1 as pos from c)
+        select k as outcome_index, 'Клуб ' || club as title, day + interval 18 hour as start_at, 'BusinessEvent' as event_type,
+            case when pos <> max(pos) over (partition by club) then max(pos) over (partition by club) end as duplicate_of from n""",
+}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""with p as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as key, text from documents),
+    k as (select doc_id, case when doc_id % 5 = 0 then 'external_id:vk:wall-7_' || (doc_id // 10) else 'text:' || key end as key from p where key <> '')
+    select doc_id as post_pos, min(doc_id) over (partition by key) as first_pos from k""")
+def post_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = guards.guarded(_posts(spark, sf_dir), _day()).where("guard is null or guard != 'empty_post'")
+    return found.select("post_pos", F.coalesce("first_pos", "post_pos").alias("first_pos"))
+
+
+@query("""select conv_id, turn, regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\x{1F1E6}-\\x{1F1FF}\\x{1F300}-\\x{1F5FF}\\x{1F600}-\\x{1F64F}\\x{1F680}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]+', '', 'g'),
+    '\\s+', ' ', 'g')), '\\s+([,.:;!?])', '\\1', 'g') as cleaned from conversations""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean(F.col("text")).alias("cleaned"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'empty_post' end as guard from documents where doc_id % 3 = 0")
+def blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, sf_dir).withColumn("text", F.when(F.col("post_pos") % 3 == 0, " \n ").otherwise(F.col("text")))
+    return guards.guarded(posts, _day()).where("guard = 'empty_post'").select(F.col("post_pos").alias("doc_id"), "guard")
+
+
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "extracted").when(kind == "click", "skipped").when(kind == "error", "llm_error").when(kind == "signup", "invalid").otherwise("extracted")
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), status.alias("status"), (kind == "error").alias("is_daily_limit"), "user_id")
+
+
+STATUS_SQL = "case event_type when 'purchase' then 'extracted' when 'click' then 'skipped' when 'error' then 'llm_error' when 'signup' then 'invalid' else 'extracted' end"
+
+
+@query(f"""select count(*) as total, count(*) filter (status = 'extracted') as extracted, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'invalid') as invalid,
+    count(*) filter (status = 'llm_error') as llm_errors, count(*) filter (status in ('invalid', 'llm_error')) as error_count, count(*) filter (user_id % 2 = 0) as cached, count(*) filter (user_id % 2 <> 0) as processed
+    from (select {STATUS_SQL} as status, user_id from events)""")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.status_counts(_statuses(spark, sf_dir).withColumn("cached", F.col("user_id") % 2 == 0))
+
+
+@query(f"""with s as (select event_id as pos, {STATUS_SQL} as status from events),
+    b as (select *, coalesce(sum((status in ('invalid', 'llm_error'))::int) over (order by pos rows between unbounded preceding and 1 preceding), 0) as before from s)
+    select pos, case when status <> 'skipped' and before >= 25 then 'skipped' else status end as status, case when status <> 'skipped' and before >= 25 then 'error_limit_reached' end as "limit" from b""")
+def error_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.with_limits(_statuses(spark, sf_dir).withColumn("is_daily_limit", F.lit(False)), 25).select("pos", "status", "limit")
+
+
+@query(f"""with s as (select event_id as pos, {STATUS_SQL} as status, user_id from events), l as (select min(pos) as p from s where status <> 'skipped' and user_id % 50 = 7)
+    select pos, case when status <> 'skipped' and pos >= p then 'llm_error' else status end as status, case when status <> 'skipped' and pos >= p then 'daily_rate_limit_exceeded' end as "limit" from s, l""")
+def daily_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.with_limits(_statuses(spark, sf_dir).withColumn("is_daily_limit", F.col("user_id") % 50 == 7)).select("pos", "status", "limit")
+
+
+def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 3 != 0")
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))
+    status = F.when(F.col("doc_id") % 11 == 0, "llm_error").otherwise("extracted")
+    return docs.select(F.col("doc_id").alias("outcome_index"), F.concat(F.lit("id"), "doc_id").alias("external_id"), changed.alias("text"), F.lit(None).cast("string").alias("raw_text"), status.alias("status"))
+
+
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir).withColumn("external_id", F.concat(F.lit("id"), "post_pos"))
+
+
+@query("select doc_id as post_pos, doc_id % 3 <> 0 and doc_id % 7 <> 0 and doc_id % 11 <> 0 as is_cached from documents")
+def cache_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.matched(_current(spark, sf_dir), _existing(spark, sf_dir)).select("post_pos", F.col("cached").isNotNull().alias("is_cached"))
+
+
+@query("select doc_id as post_pos from documents where doc_id % 3 = 0 or doc_id % 7 = 0 or doc_id % 11 = 0")
+def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.pending(_current(spark, sf_dir), _existing(spark, sf_dir)).select("post_pos")
+
+
+@query("select event_type as external_id, max(event_id) as event_id, arg_max(user_id, event_id) as user_id from events group by 1")
+def last_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("external_id"), "event_id", "user_id")
+    return snapshot.last_by_id(rows, "event_id").select("external_id", "event_id", "user_id")
+
+
+@query("""with c as (select doc_id, case when doc_id % 10 <> 0 then 'id' || doc_id end as id from documents where doc_id % 2 = 0),
+    o as (select doc_id, case when doc_id % 10 <> 0 then 'id' || doc_id end as id from documents where doc_id % 3 = 0)
+    select id as external_id, doc_id, 'current' as part, doc_id as outcome_index from c
+    union all select id, doc_id, 'existing', doc_id + (select max(doc_id) + 1 from c) from o where id is null or id not in (select id from c where id is not null)""")
+def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("id"), "doc_id")).alias("external_id"), F.col("doc_id").alias("outcome_index"))
+    current, existing = docs.where("doc_id % 2 = 0").withColumn("part", F.lit("current")), docs.where("doc_id % 3 = 0").withColumn("part", F.lit("existing"))
+    return snapshot.accumulated(current, existing).select("external_id", "doc_id", "part", "outcome_index")
+
+
+def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ids = F.concat(F.lit("vk:wall-"), "user_id", F.lit("_"), "event_id")
+    return _table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("outcome_index"), ids.alias("external_id"), at.alias("published_at"), (F.col("event_type") == "click").alias("is_pinned"))
+
+
+@query("""with cut as (select user_id, min(ts) as cutoff from events where event_id % 4 = 0 and event_type <> 'click' group by 1)
+    select event_id from events where event_id % 4 = 0
+    union all select event_id from events e left join cut using (user_id) where event_id % 4 = 1 and (cutoff is null or ts < cutoff)""")
+def window_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _walls(spark, sf_dir)
+    return snapshot.accumulated(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 = 1"), prune=True).select("event_id")
+
+
+@query("""select '-' || user_id as owner, min(ts) as cutoff from events where event_type <> 'click' group by user_id""")
+def wall_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.cutoffs(_walls(spark, sf_dir)).select("owner", F.col("cutoff").cast("timestamp_ntz").alias("cutoff"))
+
+
+def _order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("events"))
+    joined = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select(F.col("o_orderkey").alias("outcome_index"), F.when(F.col("o_orderstatus") == "F", "skipped").otherwise("extracted").alias("status"), "events")
+
+
+FLAT_SQL = """select o_orderkey as outcome_index, row_number() over (partition by o_orderkey order by l_linenumber, l_partkey) - 1 as event_index, l_partkey as event
+    from orders join lineitem on o_orderkey = l_orderkey where o_orderstatus <> 'F'"""
+
+
+@query(FLAT_SQL)
+def flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flat_events(_order_outcomes(spark, sf_dir))
+
+
+@query(f"select outcome_index, event_index, case when event_index = 1 then -event else event end as event from ({FLAT_SQL})")
+def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _order_outcomes(spark, sf_dir)
+    new = results.flat_events(outcomes).where("event_index = 1").withColumn("event", -F.col("event")).unionByName(spark.createDataFrame([(1, 99, 5)], "outcome_index long, event_index long, event long"))
+    return results.flat_events(dedup.write_back(outcomes, new))
+
+
+@query("""select event_id, case when event_id <> k then k end as duplicate_of from (select event_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) over (partition by user_id, event_type) as k from events)""")
+def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("g", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    return dedup.latest(rows, "g", "event_id", "ts").select("event_id", "duplicate_of")
+
+
+TOKENS_SQL = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+@query(f"""with t as (select p_partkey as k, {TOKENS_SQL.format('p_name')} as t from part where p_partkey % 4 = 0)
+    select a.k as a, b.k as b, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) as score from t a join t b on a.k < b.k where len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) >= 0.65""")
+def token_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    pairs = dedup.duplicate_pairs(_titled(part))
+    names = part.select(F.col("p_partkey").alias("k"), text.tokens(F.col("p_name")).alias("t"))
+    both = pairs.join(names.select(F.col("k").alias("a"), F.col("t").alias("s")), "a").join(names.select(F.col("k").alias("b"), "t"), "b")
+    return both.select("a", "b", F.round(text.containment(F.col("s"), F.col("t")), 6).alias("score"))
+
+
+def _titled(part: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return part.select(
+        F.col("p_partkey").alias("event_pos"), F.col("p_name").alias("title"), none.alias("description"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("start_at"), F.lit(None).cast("timestamp_ntz").alias("end_at"),
+        F.lit("unknown").alias("event_type"), F.lit(None).cast("array<string>").alias("industries"), none.alias("address"), none.alias("venue_name"), F.col("p_name").alias("prompt_text"),
+        F.timestamp_seconds(F.col("p_size")).alias("published_ts"),
+    )
+
+
+@query()
+def event_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicated(_titled(_table(spark, sf_dir, "part"))).select("event_pos", "group_pos", "duplicate_of")
+
+
+SPANS_SQL = """select l_orderkey as k, min(l_shipdate)::date as s, max(l_shipdate)::date as e from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
+    where c_mktsegment = 'BUILDING' and o_custkey % 5 = 0 group by 1"""
+
+
+@query(f"with t as ({SPANS_SQL}) select a.k as a, b.k as b from t a join t b on a.k < b.k and a.s <= b.e + 1 and b.s <= a.e + 1")
+def interval_related_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders, customer = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    few = orders.where("o_custkey % 5 = 0").join(customer.where("c_mktsegment = 'BUILDING'"), F.col("c_custkey") == F.col("o_custkey"))
+    spans = lines.join(few, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_orderkey").alias("event_pos")).agg(F.min("l_shipdate").cast("date").alias("first"), F.max("l_shipdate").cast("date").alias("last"))
+    return dedup.related_pairs(spans)
+
+
+@query("""with u as (select page_id, regexp_replace(url, '[?#].*$|[.,;:!?]+$', '') || '?utm_source=x&b=2&a=1#top' as url from pages),
+    p as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path from u)
+    select page_id, 'https://' || lower(host) || case when regexp_replace(path, '/+$', '') = '' then '/' else regexp_replace(path, '/+$', '') end || '?a=1&b=2' as url from p""")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.concat(F.regexp_replace("url", "[?#].*$|[.,;:!?]+$", ""), F.lit("?utm_source=x&b=2&a=1#top"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.normalize_url(given).alias("url"))
+
+
+def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+
+
+LEAP_SQL = "case when month(day) = 2 and day(day) = 29 and year(day) <> year(day - interval 200 day) then null else {} end"
+
+
+@query(f"""select o_orderkey, {LEAP_SQL.format("day::timestamp + interval 18 hour + interval 30 minute")} as start_at from (select o_orderkey, o_orderdate::date as day from orders)""")
+def ru_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.lit("Ждем вас "), _day_text(F.col("day")), F.lit(" года, начало в 18.30, вход свободный"))
+    return _order_days(spark, sf_dir).select("o_orderkey", dates.start_in(words, F.date_sub("day", 200), _day()).alias("start_at"))
+
+
+@query("""select o_orderkey, make_timestamp(year(day), month(day), 3, 14, 0, 0) as first, make_timestamp(year(day), month(day), 15, 14, 0, 0) as last, 3 as n from (select o_orderkey, o_orderdate::date as day from orders)""")
+def ru_listed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month_name = F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.month("day"))
+    words = F.concat(F.lit("Встречи 3, 9 и 15 "), month_name, F.lit(" в 14:00 - 17:00"))
+    starts = dates.listed_starts(words, F.trunc("day", "month"), _day())
+    return _order_days(spark, sf_dir).select("o_orderkey", F.element_at(starts, 1).alias("first"), F.element_at(starts, -1).alias("last"), F.size(starts).alias("n"))
+
+
+@query("""select o_orderkey, day + 5 as end_date from (select o_orderkey, o_orderdate::date as day from orders) where not (month(day + 5) = 2 and day(day + 5) = 29)""")
+def ru_range_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    until = F.date_add("day", 5)
+    words = F.concat(F.lit("Не 1-2 мая, а с "), _day_text(F.col("day")), F.lit(" по "), _day_text(until), F.lit(". И 30-31 декабря"))
+    rows = _order_days(spark, sf_dir).where((F.month(until) != 2) | (F.dayofmonth(until) != 29))
+    return rows.select("o_orderkey", dates.range_end(words, F.col("day")).alias("end_date"))
+
+
+@query("""select o_orderkey, (day + 2)::timestamp as deadline from (select o_orderkey, o_orderdate::date as day from orders) where not (month(day + 2) = 2 and day(day + 2) = 29)""")
+def ru_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    until = F.date_add("day", 2)
+    rows = _order_days(spark, sf_dir).where((F.month(until) != 2) | (F.dayofmonth(until) != 29))
+    return rows.select("o_orderkey", dates.deadline_in(F.concat(F.lit("Подать заявку можно до "), _day_text(until)), F.col("day"), _day()).alias("deadline"))
+
+
+@query("""select o_orderkey, case o_orderkey % 5 when 0 then 'not_event_announcement' when 1 then 'not_event_announcement' when 2 then 'past_event_report' when 3 then 'not_event_announcement' end as reason from orders""")
+def skip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*map(F.lit, ["ВНИМАНИЕ! ОТМЕНА! Концерт", "Итоги розыгрыша билетов", "Вчера состоялся праздник", "Открыт приём документов в колледж", "Ждем 5 июня в колледже, 18:00"]))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", rules.skip_reason(F.element_at(said, (F.col("o_orderkey") % 5 + 1).cast("int")), _day()).alias("reason"))
+
+
+@query("select o_orderkey, 'vk:wall-' || (o_custkey % 9) || '_' || o_orderkey as external_id, '-' || (o_custkey % 9) as owner from orders")
+def owner_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.concat(F.lit("vk:wall-"), F.col("o_custkey") % 9, F.lit("_"), "o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", ids.alias("external_id"), text.owner_of(ids).alias("owner"))
+
+
+@query("""select event_id, case when event_id % 4 = 0 then 'Festival' when event_id % 4 = 1 then 'unknown' when event_id % 4 = 2 then 'other' else 'ScreeningEvent' end as kind from events""")
+def enum_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.element_at(F.array(F.lit(" FESTIVAL"), F.lit(None), F.col("event_type"), F.lit("screeningEvent\n")), (F.col("event_id") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", text.enum_value(given, EVENT_TYPES).alias("kind"))
+
+
+@query("""select conv_id, array_to_string(nullif(list_filter(list(role order by turn), lambda r: r in ('user', 'system')), []), ',') as roles from conversations group by conv_id""")
+def list_domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    lists = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(roles.alias("r"))
+    return lists.select("conv_id", F.array_join(text.in_domain(F.col("r"), ("user", "system")), ",").alias("roles"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 then 'id' || doc_id else 'text-sha256:' || substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 16) end as key from documents""")
+def merge_source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("id"), "doc_id"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.merge_source_key(ids, F.col("text")).alias("key"))
+
+
+@query(f"""select s_suppkey, c_custkey, len(list_intersect({TOKENS_SQL.format('s_name')}, {TOKENS_SQL.format('c_name')})) / least(len({TOKENS_SQL.format('s_name')}), len({TOKENS_SQL.format('c_name')})) >= 0.8 as near
+    from supplier join customer on s_nationkey = c_nationkey and s_suppkey = c_custkey""")
+def location_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "customer")
+    place = lambda x: F.struct(F.col(x).alias("address"), F.lit(None).cast("string").alias("venue_name"))
+    both = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") == F.col("c_custkey")))
+    return both.select("s_suppkey", "c_custkey", rules.locations_similar(place("s_name"), place("c_name")).alias("near"))
+
+
+@query("""select count(*) as total, count(*) filter (status is distinct from expected) as mismatches, round(1 - count(*) filter (status is distinct from expected) / count(*), 6) as accuracy
+    from (select case when length(text) > 300 then 'extracted' else 'skipped' end as status, case quality when 1 then 'extracted' when 0 then 'skipped' end as expected from documents left join labels using (doc_id))""")
+def gold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 300, "extracted").otherwise("skipped").alias("status"))
+    gold = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "extracted").when(F.col("quality") == 0, "skipped").alias("expected_status"))
+    return results.accuracy(results.compared(outcomes, gold, "doc_id")).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'skipped:vacancy' when 1 then 'llm_error:llm_error' when 2 then 'llm_error:invalid_llm_shape' else 'extracted:' end as found from customer""")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*map(F.lit, ['{"is_event": false, "skip_reason": "vacancy"}', "not json", '{"is_event": "false"}', '{"is_event": true, "events": [{"title": "A", "start_at": "2024-06-05T18:00:00+03:00", "x": 1}]}']))
+    none = F.lit(None).cast("string")
+    rows = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("post_pos"), none.alias("external_id"), none.alias("source_name"), none.alias("source_url"), none.alias("published_at"), none.alias("guard"), F.lit(None).cast("long").alias("first_pos"),
+        F.lit("post").alias("prompt_text"), F.element_at(said, (F.col("c_custkey") % 4 + 1).cast("int")).alias("response"), none.alias("error"),
+    )
+    found = extract.outcomes(rows, _day())
+    return found.select(F.col("outcome_index").alias("c_custkey"), F.concat("status", F.lit(":"), F.coalesce(F.try_element_at("errors", F.lit(1))["code"], F.lit(""))).alias("found"))
+
+
+@query("select event_id, ts from events order by ts desc, event_id limit 20")
+def recency_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(20)
