@@ -52,3 +52,25 @@ def test_equal_to_brute_force(spark):
 
 def test_no_rows(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_components(spark):
+    r = random.Random(1)
+    name = lambda k: f"{k * 7919 % 1009:04d}".encode()
+    edges = [(k, k + 1) for k in range(0, 300) if k % 50] + [(400, k) for k in range(401, 500)] + [(r.randrange(600, 900), r.randrange(600, 900)) for _ in range(250)]
+    up = list(range(1000))
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        up[find(a)] = find(b)
+    for alone in (10_000, 5):
+        got = near_dup.components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary"), alone).collect()
+        labels = {bytes(x.node): bytes(x.label) for x in got}
+        ends = {k for e in edges if e[0] != e[1] for k in e}
+        assert len(got) == len(labels) == len(ends)
+        groups = {frozenset(k for k in ends if labels[name(k)] == x) for x in set(labels.values())}
+        assert groups == {frozenset(k for k in ends if find(k) == x) for x in {find(k) for k in ends}}
