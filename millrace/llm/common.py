@@ -70,6 +70,18 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return [x or "" for x in batch.column(text).to_pylist()]
 
 
+_sole: dict = {}
+
+
+def sole(name, make):
+    """An operator's word cache in this Python worker. Workers run tasks of many operators; the caches of others are let go, so
+    that one worker never holds more than one."""
+    if name not in _sole:
+        _sole.clear()
+        _sole[name] = make()
+    return _sole[name]
+
+
 def fold_of(doc_id: int | None, folds: int) -> int:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds

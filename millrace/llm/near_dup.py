@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept, slices, small, texts_of, with_columns
+from millrace.llm.common import kept, slices, small, sole, texts_of, with_columns
 
 #: Words held by a Python worker; beyond, it starts anew.
-HELD = 600_000
+HELD = 250_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,10 +94,8 @@ class Shingles:
         return mixed[np.r_[True, mixed[1:] != mixed[:-1]]]
 
 
-@lru_cache(4)
 def shingles(width: int) -> Shingles:
-    """One for each Python worker, which runs many tasks."""
-    return Shingles(width)
+    return sole(("shingles", width), lambda: Shingles(width))
 
 
 @lru_cache(4)

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, texts_of, with_columns
+from millrace.llm.common import slices, sole, texts_of, with_columns
 
 #: Words held by a Python worker; beyond, it starts anew.
-HELD = 600_000
+HELD = 300_000
 CAPITALS, SMALL, NUMBERS = re.compile("[^\\W\\d_a-zß-öø-ÿ]+"), re.compile("[^\\W\\d_A-ZÀ-ÖØ-Þ]+"), re.compile("[0-9]+")
 
 
@@ -77,10 +76,8 @@ class Tokens:
             return np.fromiter(map(held.__getitem__, words), np.int64, len(words))
 
 
-@lru_cache(2)
 def tokens(buckets: int) -> Tokens:
-    """One for each Python worker, which runs many tasks."""
-    return Tokens(buckets)
+    return sole(("quality", buckets), lambda: Tokens(buckets))
 
 
 def index_vectors(s: Settings) -> tuple[np.ndarray, np.ndarray]:
