@@ -18,7 +18,9 @@ rows. Further columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,8 +35,14 @@ from pyspark.sql import functions as F
 from millrace.llm.common import kept, slices, texts_of, with_columns
 
 #: Words held by a Python worker; beyond, it starts anew.
-HELD = 600_000
+HELD = 900_000
 APART = "\x02"
+#: Words of these characters are in normal form C, and their lower case doesn't depend on what is around.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's pre-tokens, for such words.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The signs of bytes that have none of their own, in the tokenizer's byte alphabet.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordIds:
@@ -44,14 +52,34 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held = Tokenizer.from_file(file), {}
+        self.tokenizer, self.held, self.parts = Tokenizer.from_file(file), {}, {}
+        self.model = self.tokenizer.model
         (self.apart,) = self._ids(APART)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        """Words are encoded many at once, with a sign between them that is always a token of its own."""
+        rest = []
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass").lower()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                self.held[w] = b"".join(map(self._plain, PARTS.findall(text)))
+            else:
+                rest.append(w)
+        for k in range(0, len(rest), 5000):
+            self._through(rest[k : k + 5000])
+
+    def _plain(self, part: str) -> bytes:
+        """A pre-token goes to the merges alone, without what the library does to trace places in a text."""
+        ids = self.parts.get(part)
+        if ids is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return ids
+
+    def _through(self, words: list[bytes]) -> None:
+        """Other words go through the whole tokenizer, many at once, with a sign between them that is a token of its own."""
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         ids = np.array(self._ids(f" {APART} ".join(texts)), "<u4")
         cuts = np.flatnonzero(ids == self.apart)
@@ -68,16 +96,13 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.held) > HELD:
+        if len(self.held) + len(self.parts) > HELD:
             self.held.clear()
-        new = list(set().union(*split) - self.held.keys())
-        sign = APART.encode()
+            self.parts.clear()
+        new, sign = set().union(*split) - self.held.keys(), APART.encode()
         for w in (odd := [w for w in new if sign in w]):
-            self.held[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
-        if odd:
-            new = [w for w in new if sign not in w]
-        for k in range(0, len(new), 5000):
-            self._learn(new[k : k + 5000])
+            self.held[w] = np.array(self._ids(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+        self._learn(list(new.difference(odd)))
         return [b"".join(map(self.held.__getitem__, words)) for words in split]
 
 
