@@ -24,7 +24,6 @@ from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept, slices, texts_of, with_columns
+from millrace.llm.common import kept, slices, sole, texts_of, with_columns
 
 #: Words held by a Python worker; beyond, it starts anew.
-HELD = 900_000
+HELD = 500_000
 APART = "\x02"
 #: Words of these characters are in normal form C, and their lower case doesn't depend on what is around.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -106,10 +105,8 @@ class WordIds:
         return [b"".join(map(self.held.__getitem__, words)) for words in split]
 
 
-@lru_cache(1)
 def word_ids(file: str) -> WordIds:
-    """One for each Python worker, which runs many tasks."""
-    return WordIds(file)
+    return sole(("word ids", file), lambda: WordIds(file))
 
 
 @dataclass(frozen=True)
