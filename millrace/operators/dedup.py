@@ -21,18 +21,21 @@ def duplicate_pairs(events: DataFrame) -> DataFrame:
     """Pairs (a < b, by event_pos) that are duplicates by rule.
 
     The rule asks for titles that share at least 0.65 of the smaller token set, so each pair shares a token; of a title of n
-    tokens, any n - ceil(0.65 n) + 1 must hold a shared one, and the rarest are taken, which spares the frequent ones.
+    tokens, any n - ceil(0.65 n) + 1 must hold a shared one, and the rarest are taken, which spares the frequent ones. Titles of
+    the same tokens are one set, so sets are compared, and events meet only where their sets share enough.
     """
-    titled = events.withColumn("_tokens", text.tokens(F.col("title")))
-    counts = titled.select(F.explode("_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    each = titled.select("event_pos", F.explode("_tokens").alias("token")).join(counts, "token")
-    ranked = each.groupBy("event_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_ranked"))
+    titled = events.select("event_pos", F.array_sort(text.tokens(F.col("title"))).alias("set"))
+    each = titled.groupBy("set").agg(F.count("*").alias("events")).select("set", "events", F.explode("set").alias("token"))
+    counts = each.groupBy("token").agg(F.sum("events").alias("n"))
+    ranked = each.join(counts, "token").groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_ranked"))
     # the smaller set of a pair finds its partner among all tokens of the other
     probe = F.slice("_ranked", 1, (F.size("_ranked") - F.ceil(F.size("_ranked") * 0.65) + 1).cast("int"))
-    left = ranked.select("event_pos", F.size("_ranked").alias("size"), F.explode(probe).alias("token"))
-    right = ranked.select(F.col("event_pos").alias("other"), F.size("_ranked").alias("other_size"), F.explode("_ranked").alias("token"))
-    pairs = left.join(right, "token").where("event_pos != other and size <= other_size")
-    pairs = pairs.select(F.least("event_pos", "other").alias("a"), F.greatest("event_pos", "other").alias("b")).distinct()
+    left = ranked.select("set", F.explode(probe).alias("token"))
+    right = ranked.select(F.col("set").alias("other"), F.explode("_ranked").alias("token"))
+    met = left.join(right, "token").where((F.size("set") <= F.size("other")) & (text.containment(F.col("set"), F.col("other")) >= 0.65))
+    sets = met.select(F.least("set", "other").alias("s"), F.greatest("set", "other").alias("t")).distinct()
+    one, two = titled.select(F.col("event_pos").alias("p"), F.col("set").alias("s")), titled.select(F.col("event_pos").alias("q"), F.col("set").alias("t"))
+    pairs = sets.join(one, "s").join(two, "t").where("s != t and p != q or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     rows = _structs(events)
     both = pairs.join(rows.select(F.col("event_pos").alias("a"), F.col("e").alias("x")), "a").join(rows.select(F.col("event_pos").alias("b"), F.col("e").alias("y")), "b")
     return both.where(rules.duplicates(F.col("x"), F.col("y"))).select("a", "b")
