@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dates, rules, text
 from millrace.operators.storage import kept
 
-#: Longest span of days that is dealt day by day; longer ones are compared by year.
+#: Longest span of days that is dealt day by day; longer ones month by month.
 LONG_SPAN = 60
 
 
@@ -44,17 +44,20 @@ def duplicate_pairs(events: DataFrame) -> DataFrame:
 def related_pairs(spans: DataFrame, pos: str = "event_pos") -> DataFrame:
     """a < b: rows of pos, first, last whose closed day spans overlap or lie at most a day apart.
 
-    Two spans are related iff [first, last + 1] share a day, so each is dealt to its days and a pair is taken on the first day
-    that both have. Spans of more than LONG_SPAN days are dealt to years instead, and meet all others there.
+    Two spans are related iff [first, last + 1] share a day, and the first day that both have is the one on which the later one
+    starts. So each is dealt to its days and meets there the spans that start then, which makes few rows besides the pairs. Spans
+    of more than LONG_SPAN days are dealt to months instead.
     """
     made = spans.select(F.col(pos).alias("pos"), "first", F.date_add("last", 1).alias("until")).where("first is not null")
     long = F.date_diff("until", "first") > LONG_SPAN
-    both = lambda l, r: (F.col(f"{l}.first") <= F.col(f"{r}.until")) & (F.col(f"{r}.first") <= F.col(f"{l}.until"))
-    days = made.where(~long).withColumn("day", F.explode(F.sequence("first", "until")))
-    short = days.alias("l").join(days.alias("r"), "day").where((F.col("l.pos") < F.col("r.pos")) & (F.col("day") == F.greatest("l.first", "r.first")))
-    years = made.withColumn("year", F.explode(F.sequence(F.year("first"), F.year("until")))).withColumn("long", long)
-    far = years.alias("l").join(years.alias("r"), "year").where((F.col("l.pos") < F.col("r.pos")) & (F.col("l.long") | F.col("r.long")) & both("l", "r") & (F.col("year") == F.year(F.greatest("l.first", "r.first"))))
-    return short.select(F.col("l.pos").alias("a"), F.col("r.pos").alias("b")).union(far.select(F.col("l.pos").alias("a"), F.col("r.pos").alias("b")))
+    later = (F.col("l.first") < F.col("r.first")) | ((F.col("l.first") == F.col("r.first")) & (F.col("l.pos") < F.col("r.pos")))
+    days = made.where(~long).withColumn("at", F.explode(F.sequence("first", "until")))
+    months = made.where(long).withColumn("at", F.explode(F.sequence(F.trunc("first", "month"), F.trunc("until", "month"), F.expr("interval 1 month"))))
+    met = []
+    for dealt, start in ((days, F.col("first")), (months, F.trunc("first", "month"))):
+        both = dealt.alias("l").join(made.withColumn("at", start).alias("r"), "at").where(later & (F.col("r.first") <= F.col("l.until")) & (F.col("l.pos") != F.col("r.pos")))
+        met.append(both.select(F.least("l.pos", "r.pos").alias("a"), F.greatest("l.pos", "r.pos").alias("b")))
+    return met[0].union(met[1])
 
 
 def semantic_pairs(events: DataFrame) -> DataFrame:
