@@ -215,9 +215,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with a sign for the kind, as <EMAIL>, in place of each span; of overlapping spans the first, then longest, counts."""
+    """docs with a sign for the kind, as <EMAIL>, in place of each span; overlapping spans are one, by the kind of the first, then longest."""
     marked = spans(docs, tuple(docs.columns))
-    step = """(s, c) -> if(c.start < s.at, s, named_struct('at', c.end, 'out', concat(s.out, array(substr(text, s.at + 1, c.start - s.at), concat('<', upper(c.kind), '>')))))"""
+    step = """(s, c) -> if(c.start < s.at, named_struct('at', greatest(s.at, c.end), 'out', s.out), named_struct('at', c.end, 'out', concat(s.out, array(substr(text, s.at + 1, c.start - s.at), concat('<', upper(c.kind), '>')))))"""
     ordered = "array_sort(transform(spans, c -> struct(c.start as start, -c.end as last, c.end as end, c.kind as kind)))"
     text = f"aggregate({ordered}, named_struct('at', 0, 'out', cast(array() as array<string>)), {step}, s -> concat(array_join(s.out, ''), substr(text, s.at + 1)))"
     changed = F.when(F.size("spans") > 0, F.expr(text)).otherwise(F.col("text"))

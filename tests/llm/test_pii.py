@@ -57,5 +57,12 @@ def test_added_spans_and_redaction(spark):
     assert clean[3] == "call <PHONE> or mail <EMAIL> now, item 12.34.56.789" and clean[100] == "phone <PHONE> today" and clean[103] == ""
 
 
+def test_partly_overlapping_spans_are_redacted_whole(spark):
+    """The card begins within the address and ends after it."""
+    rows = [(1, "host 10.0.0.0 4111 1111 1111 1111 end"), (2, "4111 1111 1111 1111"), (3, "10.0.0.0 4111 1111 1111 1111, 10.0.0.1 x"), (4, None)]
+    clean = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean == {1: "host <IP> end", 2: "<CARD>", 3: "<IP>, <IP> x", 4: ""}
+
+
 def test_no_rows(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
