@@ -154,7 +154,7 @@ def last_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select id, doc_id, 'existing', doc_id + (select max(doc_id) + 1 from c) from o where id is null or id not in (select id from c where id is not null)""")
 def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("id"), "doc_id")).alias("external_id"), F.col("doc_id").alias("outcome_index"))
-    current, existing = docs.where("doc_id % 2 = 0").withColumn("part", F.lit("current")), docs.where("doc_id % 3 = 0").withColumn("part", F.lit("existing"))
+    current, existing = docs.where("doc_id % 2 = 0").withColumn("part", F.lit("current")), docs.where("doc_id % 2 != 0 or doc_id % 3 = 0").withColumn("part", F.lit("existing"))
     return snapshot.accumulated(current, existing).select("external_id", "doc_id", "part", "outcome_index")
 
 
@@ -169,7 +169,7 @@ def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select event_id from events e left join cut using (user_id) where event_id % 4 = 1 and (cutoff is null or ts < cutoff)""")
 def window_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _walls(spark, sf_dir)
-    return snapshot.accumulated(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 = 1"), prune=True).select("event_id")
+    return snapshot.accumulated(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 != 0"), prune=True).select("event_id")
 
 
 @query("""select '-' || user_id as owner, min(ts) as cutoff from events where event_type <> 'click' group by user_id""")
