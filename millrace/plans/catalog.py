@@ -276,15 +276,13 @@ def ru_listed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ru_range_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = F.date_add("day", 5)
     words = F.concat(F.lit("Не 1-2 мая, а с "), _day_text(F.col("day")), F.lit(" по "), _day_text(until), F.lit(". И 30-31 декабря"))
-    rows = _order_days(spark, sf_dir).where((F.month(until) != 2) | (F.dayofmonth(until) != 29))
-    return rows.select("o_orderkey", dates.range_end(words, F.col("day")).alias("end_date"))
+    return _order_days(spark, sf_dir).select("o_orderkey", dates.range_end(words, F.col("day")).alias("end_date"))
 
 
 @query("""select o_orderkey, (day + 2)::timestamp as deadline from (select o_orderkey, o_orderdate::date as day from orders) where not (month(day + 2) = 2 and day(day + 2) = 29)""")
 def ru_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = F.date_add("day", 2)
-    rows = _order_days(spark, sf_dir).where((F.month(until) != 2) | (F.dayofmonth(until) != 29))
-    return rows.select("o_orderkey", dates.deadline_in(F.concat(F.lit("Подать заявку можно до "), _day_text(until)), F.col("day"), _day()).alias("deadline"))
+    return _order_days(spark, sf_dir).select("o_orderkey", dates.deadline_in(F.concat(F.lit("Подать заявку можно до "), _day_text(until)), F.col("day"), _day()).alias("deadline"))
 
 
 @query("""select o_orderkey, case o_orderkey % 5 when 0 then 'not_event_announcement' when 1 then 'not_event_announcement' when 2 then 'past_event_report' when 3 then 'not_event_announcement' end as reason from orders""")
