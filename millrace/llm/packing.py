@@ -7,7 +7,7 @@ product of its demand and what is left, else to a new sequence.
 
 What a piece asks for depends on its length alone, so the packing is worked out for the whole corpus on the counts of each
 length (at most one row for each possible length): sequences in the same state are one class with a count, and pieces of one
-length fill a class at once. The plan is a table of intervals: so many pieces of a length, from such a rank, go to sequences
+length fill the sequences of a class at once, as if dealt one by one. The plan is a table of intervals: so many pieces of a length, from such a rank, go to sequences
 numbered from here at that offset. Its size depends on the sequence length, not on the corpus. Pieces then find their place by
 their rank among those of their length: a running number within the task that made them, plus the counts of earlier tasks.
 
@@ -135,11 +135,9 @@ class Limits:
 def plan(lengths: dict[int, int], limits: Limits = Limits()) -> list[tuple[int, int, int, int, int]]:
     """Intervals (length, first rank, count, first sequence, offset): those ranks go to as many successive sequences.
 
-    A capacity that cannot bind is left out of the sequences' states, which keeps the classes few.
+    All three residuals count in the choice, also where a capacity cannot bind.
     """
-    full = limits.capacity()
-    binds = np.array([True, full[1] < full[0], full[2] < full[0] ** 2])
-    weights = np.array(limits.weights) * binds
+    full, weights = limits.capacity(), np.array(limits.weights)
     states, counts, ranges, slot = np.zeros((64, 3), np.int64), np.zeros(64, np.int64), [], {}
     out, opened = [], 0
 
@@ -159,29 +157,31 @@ def plan(lengths: dict[int, int], limits: Limits = Limits()) -> list[tuple[int,
         counts[k] += n
 
     for length, left in sorted(lengths.items(), reverse=True):
-        need, rank = np.array([length, 1, length**2], np.int64) * binds, 0
+        need, rank = np.array([length, 1, length**2], np.int64), 0
         if (need > full).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         while left:
             m = len(ranges)
             free = np.flatnonzero((counts[:m] > 0) & (states[:m] >= need).all(1))
-            if not len(free):
-                each = int(min(full[d] // need[d] for d in range(3) if need[d]))
-                n = -(-left // each)
-                put(full * binds, opened, n)
+            if len(free):
+                had = states[free] / full
+                score = ((had - need / full) ** 2 * weights).sum(1) if limits.rule == "norm" else -(had * (need / full) * weights).sum(1)
+                k = free[np.argmin(score)]
+                state, first, n = states[k].copy(), *ranges[k].popleft()
+                # by norm a sequence that took a piece is best for the next as well; by dot product it comes after its like
+                deep = min(left, int((state // need).min())) if limits.rule == "norm" else 1
+                if n > left // deep:
+                    ranges[k].appendleft((first + left // deep, n - left // deep))
+                    n = left // deep
+                counts[k] -= n
+            else:
+                # a new sequence is filled before the next is opened
+                state, first, deep = full, opened, min(left, int((full // need).min()))
+                n = left // deep
                 opened += n
-                continue
-            had = states[free] / full
-            score = ((had - need / full) ** 2 * weights).sum(1) if limits.rule == "norm" else -(had * (need / full) * weights).sum(1)
-            k = free[np.argmin(score)]
-            state, first, n = states[k].copy(), *ranges[k].popleft()
-            if n > left:
-                ranges[k].appendleft((first + left, n - left))
-                n = left
-            counts[k] -= n
-            out.append((length, rank, n, first, int(full[0] - state[0])))
-            put(state - need, first, n)
-            rank, left = rank + n, left - n
+            out += [(length, rank + j * n, n, first, int(full[0] - state[0]) + j * length) for j in range(deep)]
+            put(state - deep * need, first, n)
+            rank, left = rank + deep * n, left - deep * n
     return out
 
 

@@ -86,6 +86,29 @@ def test_plan_keeps_every_limit(rule, pieces, attention):
     assert len(bins) <= (1.2 if pieces else 1.1) * bound + 2
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_all_residuals_choose_the_sequence(rule):
+    """The sequences' final states are those of dealing the pieces one by one, though only tokens bind."""
+    r = random.Random(6)
+    lengths, open_ = [r.randint(1, 40) for _ in range(400)], []
+    for length in sorted(lengths, reverse=True):
+        left = [tuple(a - b for a, b in zip(s, (length, 1, length**2), strict=True)) for s in open_]
+        parts = lambda xs: [x / c for x, c in zip(xs, (64, 64, 64**2), strict=True)]
+        norm = lambda k: sum(w * x * x for w, x in zip((1, 0.1, 0.1), parts(left[k]), strict=True))
+        dot = lambda k: -sum(w * x * y for w, x, y in zip((1, 0.1, 0.1), parts(open_[k]), parts((length, 1, length**2)), strict=True))
+        score = norm if rule == "norm" else dot
+        k = min((k for k in range(len(open_)) if left[k][0] >= 0), key=score, default=None)
+        if k is None:
+            open_.append((64 - length, 63, 64**2 - length**2))
+        else:
+            open_[k] = left[k]
+    made = defaultdict(lambda: (64, 64, 64**2))
+    for length, _, n, first, _ in packing.plan(Counter(lengths), packing.Limits(64, rule=rule)):
+        for k in range(first, first + n):
+            made[k] = tuple(a - b for a, b in zip(made[k], (length, 1, length**2), strict=True))
+    assert Counter(made.values()) == Counter(open_)
+
+
 def test_a_piece_beyond_a_limit_is_an_error():
     with pytest.raises(ValueError):
         packing.plan({30: 1}, packing.Limits(64, None, 500))
