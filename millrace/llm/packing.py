@@ -17,6 +17,7 @@ rows. Further columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,85 +25,150 @@ from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import kept, slices, sole, texts_of, with_columns
 
-#: Words held by a Python worker; beyond, it starts anew.
+#: Pre-tokens held by a Python worker; beyond, it starts anew.
 HELD = 500_000
 APART = "\x02"
-#: Words of these characters are in normal form C, and their lower case doesn't depend on what is around.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's pre-tokens, for such words.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Bytes that no plain word has. Plain words are of printable ASCII and U+00C0 to U+00FF: they are in normal form C, and their
+#: lower case doesn't depend on what is around.
+NOT_PLAIN = np.array([b < 0x21 or b == 0x7F or b >= 0xC0 and b != 0xC3 for b in range(256)])
+#: The tokenizer's pre-tokens, for plain words in lower case; a line is a word.
+PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 #: The signs of bytes that have none of their own, in the tokenizer's byte alphabet.
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: What PARTS and PLAIN stand for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+@dataclass
+class Ragged:
+    """Id lists, one after another; list k is ids[cuts[k] : cuts[k + 1]]."""
+
+    ids: np.ndarray
+    cuts: np.ndarray
+
+    @staticmethod
+    def of(lists: list[bytes]) -> Ragged:
+        return Ragged(np.frombuffer(b"".join(lists), "<u4"), np.r_[0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4)])
+
+    def then(self, other: Ragged) -> Ragged:
+        return Ragged(np.r_[self.ids, other.ids], np.r_[self.cuts, other.cuts[1:] + len(self.ids)])
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists in a row, and where each ends."""
+        sizes = np.diff(self.cuts)[at]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.cuts[at] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        return self.ids[places], ends
 
 
 class WordIds:
-    """Ids of whole texts from the ids of their words, which hold for a tokenizer whose pre-tokens never span white space."""
+    """Ids of whole texts from the ids of their words, for a tokenizer that normalizes and splits as the constants above say: its
+    pre-tokens never span white space. A file of another kind is an error."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held, self.parts = Tokenizer.from_file(file), {}, {}
+        self.tokenizer = Tokenizer.from_file(file)
+        told = json.loads(self.tokenizer.to_str())
+        have = [(told[k] or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if have != [NORMALIZERS, [SPLIT, BYTES]] or told["truncation"] or told["padding"] or any(not t["content"].startswith("<|") for t in told["added_tokens"]):
+            raise ValueError(f"{file} does not normalize and split as WordIds does")
         self.model = self.tokenizer.model
+        #: Ids of pre-tokens, and of words that are not plain.
+        self.parts, self.others = {"\n": b""}, {}
         (self.apart,) = self._ids(APART)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        rest = []
-        for w in words:
-            text = w.decode("utf-8", "surrogatepass").lower()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                self.held[w] = b"".join(map(self._plain, PARTS.findall(text)))
-            else:
-                rest.append(w)
-        for k in range(0, len(rest), 5000):
-            self._through(rest[k : k + 5000])
-
-    def _plain(self, part: str) -> bytes:
-        """A pre-token goes to the merges alone, without what the library does to trace places in a text."""
-        ids = self.parts.get(part)
-        if ids is None:
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
-            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return ids
-
-    def _through(self, words: list[bytes]) -> None:
-        """Other words go through the whole tokenizer, many at once, with a sign between them that is a token of its own."""
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        ids = np.array(self._ids(f" {APART} ".join(texts)), "<u4")
+    def _through(self, words: list[str]) -> None:
+        """Words that aren't plain go through the whole tokenizer, many at once, with a sign between them that is a token of its own."""
+        ids = np.array(self._ids(f" {APART} ".join(words)), "<u4")
         cuts = np.flatnonzero(ids == self.apart)
-        if len(cuts) == len(words) - 1:
-            ends = [*(cuts * 4).tolist(), len(ids) * 4]
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(words, ends, strict=True):
-                self.held[w] = raw[at:end]
-                at = end + 4
+        if len(cuts) == len(words) - 1 and not any(APART in w for w in words):
+            self.others.update(zip(words, map(bytes, np.split(ids.view(np.uint8), np.stack([cuts * 4, cuts * 4 + 4], 1).ravel())[::2]), strict=True))
         else:
-            for w, t in zip(words, texts, strict=True):
-                self.held[w] = np.array(self._ids(t), "<u4").tobytes()
+            self.others.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in words)
+
+    def _rest(self, words: list[str]) -> list[bytes]:
+        if len(self.others) > HELD:
+            self.others.clear()
+        new = [w for w in words if w not in self.others]
+        for k in range(0, len(new), 5000):
+            self._through(new[k : k + 5000])
+        return [self.others[w] for w in words]
+
+    def _plain(self, words: pa.Array) -> Ragged:
+        """Plain words are cut into pre-tokens all at once, and only new pre-tokens go to the merges, without what the library does
+        to trace places in a text."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        found = pa.array(PARTS.findall(joined), pa.string()).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        if len(self.parts) > HELD:
+            self.parts = {"\n": b""}
+        parts, tokenize = self.parts, self.model.tokenize
+        for part in distinct:
+            if part not in parts:
+                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+                parts[part] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+        of = found.indices.to_numpy()
+        each = Ragged.of([parts[x] for x in distinct])
+        ids, ends = each.taken(of)
+        cuts = np.flatnonzero(of == distinct.index("\n")) if len(words) > 1 else np.zeros(0, np.int64)
+        return Ragged(ids, np.r_[0, ends[cuts], len(ids)])
+
+    def _ids_of(self, texts: list[str], lower: bool) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        if not len(words):
+            return [b""] * len(texts)
+        odd = np.ones(len(words), bool)
+        if lower:
+            raw, at = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+            odd = np.diff(np.r_[0, np.cumsum(NOT_PLAIN[raw])][at]) > 0
+            odd |= pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        known = Ragged.of(self._rest(words.take(pa.array(rest)).to_pylist()))
+        if len(plain):
+            known = self._plain(words.take(pa.array(plain))).then(known)
+        place = np.empty(len(words), np.int64)
+        place[np.r_[plain, rest]] = np.arange(len(words))
+        ids, ends = known.taken(place[coded.indices.to_numpy()])
+        cuts = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in pairwise(cuts)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.held) + len(self.parts) > HELD:
-            self.held.clear()
-            self.parts.clear()
-        new, sign = set().union(*split) - self.held.keys(), APART.encode()
-        for w in (odd := [w for w in new if sign in w]):
-            self.held[w] = np.array(self._ids(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
-        self._learn(list(new.difference(odd)))
-        return [b"".join(map(self.held.__getitem__, words)) for words in split]
+        out, narrow, wide = [b""] * len(texts), {}, {}
+        for k, t in enumerate(texts):
+            low = t.lower()
+            try:
+                # of Latin-1's letters none changes with what is around, so lower case may come first
+                low.encode("latin-1")
+                narrow[k] = low
+            except UnicodeEncodeError:
+                wide[k] = t
+        for of, lower in ((narrow, True), (wide, False)):
+            if of:
+                for k, ids in zip(of, self._ids_of(list(of.values()), lower), strict=True):
+                    out[k] = ids
+        return out
 
 
 def word_ids(file: str) -> WordIds:
@@ -191,7 +257,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, tokens: int, end_id: int = 0
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, seen = word_ids(tokenizer_file), TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
-        for batch in slices(batches):
+        for batch in slices(batches, 8192):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(texts_of(batch)), strict=True):
                 ids += end
