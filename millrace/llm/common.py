@@ -43,9 +43,16 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int = 32, limit: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if its counted rows fit in limit bytes; beyond, Spark shuffles both sides."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """df, which should be a kept table, marked for broadcast if it fits in limit bytes; beyond, Spark shuffles both sides.
+
+    Its bytes are measured: rows as Spark holds them, 8 bytes a column and the contents of texts, and as much again for keys.
+    """
+    wide = [f.name for f in df.schema if f.dataType.typeName() not in ("long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz")]
+    contents = [F.octet_length(F.col(f"`{c}`").cast("string")) if df.schema[c].dataType.typeName() != "binary" else F.octet_length(F.col(f"`{c}`")) for c in wide]
+    size = sum((F.coalesce(c, F.lit(0)) + 8 for c in contents), F.lit(16 + 8 * len(df.columns)))
+    held = 2 * (df.agg(F.sum(size)).first()[0] or 0)
+    return F.broadcast(df) if held <= limit else df
 
 
 def with_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:

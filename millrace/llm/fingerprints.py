@@ -91,7 +91,7 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     along = Window.orderBy("_span")
     ends = spans.select("_span", F.coalesce(F.lag("_last").over(along), F.max("_last").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
     firsts = runs.join(ends, "_span").select(F.col("_first").alias("_key"), F.coalesce("_to", "_before").alias("_to"))
-    joined = df.join(small(firsts, runs.count(), 16), "_key", "left")
+    joined = df.join(small(firsts), "_key", "left")
     dealt = F.array_compact(F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("ahead")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("run"), F.lit(True).alias("ahead")))))
     dealt = joined.withColumn("_deal", F.explode(dealt))
     order = Window.partitionBy("_deal.run").orderBy("_deal.ahead", "_key", "text")

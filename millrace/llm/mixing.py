@@ -81,7 +81,7 @@ def drawn(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     made = cells(docs, mix)
     prob = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     made = made.select("_source", "_lang", "_topic", prob.alias("_prob"))
-    found = described(docs).join(small(made, made.count(), 100), [f"_{d}" for d in DIMENSIONS], "left")
+    found = described(docs).join(small(made), [f"_{d}" for d in DIMENSIONS], "left")
     sign = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{mix.salt}")).cast("binary"))
     share = F.conv(F.substring(sign, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
     return found.withColumn("_sampled", share < F.col("_prob"))

@@ -8,14 +8,19 @@
    members. A larger region so goes deeper until it fits, each region to its own depth.
 3. Candidates are confirmed on the full sets. First those that share most with each node; what joins by these needs no further
    confirming, and all other candidates between different components follow.
-4. Regions of the least depth that are larger than `region` and still hold several components are then compared in full across
-   components by their signatures, in blocks of bounded size, and what may be similar is confirmed. A group of copies has
-   joined by now and costs nothing here.
+4. Regions of the least depth that are larger than `region` and still hold several components are compared in full across
+   components: signatures first, then, in the same task, the full shingle sets of the pairs whose signatures agree in `least` of
+   their values. A region of more than `block` nodes is dealt to blocks, and each pair of blocks is a group of its own, so that
+   no task holds more than two blocks. A region of more than `deep` nodes goes deeper instead: its nodes are planted in
+   `deep_trees` further orders of twice the depth, whose regions are compared in the same way. A group of copies has joined by
+   now and costs nothing here.
 5. Components by contraction: each round joins nodes to their least neighbours and is a written table.
 
 A link is missed only if none of the trees gives its ends, or a chain of links between them, a common prefix, with probability
-(1 - 0.8**4)**16 = 0.0002 at similarity 0.8 and the defaults, or, in step 4, if its signatures agree in less than `least` of
-their values (0.0007 at 0.8).
+(1 - 0.8**4)**16 = 0.0002 at similarity 0.8 and the defaults, or (1 - 0.8**8)**48 = 0.0002 in regions that went deeper, or, in
+step 4, if its signatures agree in less than `least` of their values (0.0007 at 0.8). Partitions of the sorted trees cut regions
+at their borders: of R rows a task (ROWS at least), a region of m rows is cut in a tree with probability m / R or less, which
+costs it that tree alone, (1 - 0.8**4)**15 instead of 16; regions of step 4 are not cut.
 
 Empty or null texts have no shingles and link with nothing. Texts of fewer words than a shingle are one shingle. Rows without
 doc_id link by their text, but their id is no component's name unless all its rows lack one (then null; kept is true). Repeated
@@ -40,6 +45,8 @@ from millrace.llm.common import kept, slices, small, sole, texts_of, with_column
 #: Words held by a Python worker; beyond, it starts anew.
 HELD = 250_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of the sorted trees that a task holds, about.
+ROWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +62,9 @@ class Forest:
     region: int = 16
     first: int = 2
     least: float = 0.64
-    block: int = 2000
+    block: int = 256
+    deep: int = 2048
+    deep_trees: int = 48
 
     @property
     def values(self) -> int:
@@ -138,16 +147,26 @@ def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
     return raw.view(kind).reshape(-1, width)
 
 
-def planted(nodes: DataFrame, forest: Forest, levels: int) -> DataFrame:
+def orders(forest: Forest) -> list[list[int]]:
+    """Which signature values each tree of the forest takes first."""
+    return [[t * forest.depth + k for k in range(forest.depth)] for t in range(forest.trees)]
+
+
+def deeper(forest: Forest) -> list[list[int]]:
+    """Further orders, of twice the depth."""
+    r = np.random.Generator(np.random.PCG64(20240301))
+    return [r.permutation(forest.values)[: 2 * forest.depth].tolist() for _ in range(forest.deep_trees)]
+
+
+def planted(nodes: DataFrame, order: list[list[int]], width: int) -> DataFrame:
     """tree, prefix (the first values of the tree's order, big-endian), node: a row for each node and tree."""
-    order = [[(t * forest.depth + k) % forest.values for k in range(levels)] for t in range(forest.trees)]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096, "signature"):
-            values = _matrix(batch.column("signature"), forest.values, np.uint32)
+            values = _matrix(batch.column("signature"), width, np.uint32)
             for tree, at in enumerate(order):
                 raw = np.ascontiguousarray(values[:, at].astype(">u4")).tobytes()
-                keys = [raw[k : k + 4 * levels] for k in range(0, len(raw), 4 * levels)]
+                keys = [raw[k : k + 4 * len(at)] for k in range(0, len(raw), 4 * len(at))]
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * len(keys), pa.int32()), pa.array(keys, pa.binary()), batch.column("node")], ["tree", "prefix", "node"])
 
     return nodes.select("node", "signature").mapInArrow(plant, "tree int, prefix binary, node binary")
@@ -184,8 +203,9 @@ def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
                 part = pairs[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], pa.binary()), pa.array(depth[k : k + (1 << 16)].astype(np.int64))], ["a", "b", "depth"])
 
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = planted(nodes, forest, forest.levels).repartitionByRange(n, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * forest.trees // ROWS)
+    order = [[(t * forest.depth + k) % forest.values for k in range(forest.levels)] for t in range(forest.trees)]
+    in_order = planted(nodes, order, forest.values).repartitionByRange(n, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     return in_order.mapInArrow(neighbours, "a binary, b binary, depth long").groupBy("a", "b").agg(F.sum("depth").alias("shared"))
 
 
@@ -214,37 +234,101 @@ def confirmed(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a binary, b binary")
 
 
-def across(nodes: DataFrame, labels: DataFrame, forest: Forest) -> DataFrame:
-    """a, b: pairs of different components in large regions of the least depth whose signatures agree enough.
+def sets_of(wanted: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """node, shingles (the sorted hashes of its full set) of wanted's node, doc_id, text_key. docs: doc_id, text, text_key."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = shingles(forest.shingle)
+        for batch in slices(batches):
+            found = [sets(sets.words(t)).tobytes() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
+
+    return texts_of_nodes(wanted, docs).mapInArrow(hashed, "node binary, shingles binary")
+
+
+def texts_of_nodes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
+    return docs.alias("t").join(small(wanted).alias("w"), same).select("w.node", "t.text").dropDuplicates(["node"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
 
-    A region's rows are dealt to blocks; those of its largest component go to one block each, the others to all of them, so
-    that each pair of different components meets once.
+def linked(labels: np.ndarray, signatures: np.ndarray, first: np.ndarray, sets: list[np.ndarray], tree: int, order: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+    """Links between rows of different labels that join them all as far as their sets are similar.
+
+    first: which rows are of the first block; a pair has one of either block, or both of the only one. A pair that shares an
+    earlier tree's prefix is met there. The likeliest pairs are confirmed first, and pairs that have joined by then are done.
     """
-    named = nodes.select("node", "signature").join(labels, "node", "left").select("node", "signature", F.coalesce("label", "node").alias("label"))
-    rows = planted(nodes, forest, forest.depth).join(named.select("node", "label"), "node")
-    parts = rows.groupBy("tree", "prefix", "label").agg(F.count("*").alias("n"))
-    regions = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    regions = kept(regions.where((F.col("n") > forest.region) & (F.col("labels") > 1)).withColumn("blocks", F.ceil(F.col("n") / forest.block).cast("int")), "regions")
-    rows = rows.join(small(regions, regions.count(), 64), ["tree", "prefix"])
-    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("is_main", F.col("label") == F.col("main")).withColumn("block", F.explode(F.when(F.col("is_main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = rows.drop("label").join(named, "node").select("tree", "prefix", "block", "is_main", "label", "node", "signature")
-
-    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        values = _matrix(group.column("signature"), forest.values, np.uint32)
-        names, main = group.column("node").to_pylist(), group.column("is_main").to_numpy(zero_copy_only=False)
-        _, label = np.unique(np.array([x.hex() for x in group.column("label").to_pylist()]), return_inverse=True)
-        found_a, found_b = [], []
-        for i in np.flatnonzero(~main):
-            # others of the same region: the main component's rows of this block, and, in the first block, the later others
-            to = np.flatnonzero(main | ((np.arange(len(main)) > i) & (key[2].as_py() == 0)) & (label != label[i]))
-            to = to[(values[to] == values[i]).sum(1) >= forest.least * forest.values]
-            found_a += [min(names[i], names[j]) for j in to.tolist()]
-            found_b += [max(names[i], names[j]) for j in to.tolist()]
-        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
-
-    return rows.groupBy("tree", "prefix", "block").applyInArrow(compare, "a binary, b binary").distinct()
+    alone, low, found = first.all(), [], []
+    for i in np.flatnonzero(first).tolist():
+        to = np.flatnonzero((labels != labels[i]) & (~first if not alone else np.arange(len(labels)) > i))
+        agree = (signatures[to] == signatures[i]).sum(1)
+        keep = agree >= forest.least * forest.values
+        to, agree = to[keep], agree[keep]
+        if tree and len(to):
+            early = (signatures[to][:, order[:tree]] == signatures[i][order[:tree]]).all(2).any(1)
+            to, agree = to[~early], agree[~early]
+        low += zip((-agree).tolist(), [i] * len(to), to.tolist(), strict=True)
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    for _, i, j in sorted(low):
+        a, b = top(int(labels[i])), top(int(labels[j]))
+        if a != b and similar(sets[i], sets[j], forest.percent):
+            up[a] = b
+            found.append((i, j))
+    return found
+
+
+def across(nodes: DataFrame, labels: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """a, b: links between different components, confirmed, in regions of the least depth that are large (step 4)."""
+    named = kept(nodes.select("node", "doc_id", "text_key", "signature").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+
+    def crowded(rows: DataFrame, least: int) -> DataFrame:
+        """tree, prefix, n, node of the rows whose region has more than `least` nodes and several components."""
+        parts = rows.join(named.select("node", "label"), "node").groupBy("tree", "prefix", "label").agg(F.count("*").alias("n"))
+        regions = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
+        regions = kept(regions.where((F.col("n") > least) & (F.col("labels") > 1)).drop("labels"), "regions")
+        return kept(rows.join(small(regions), ["tree", "prefix"]), "crowded")
+
+    first = crowded(planted(nodes, orders(forest), forest.values), forest.region)
+    wanted = kept(named.join(first.select("node").distinct(), "node", "left_semi"), "wanted")
+    known = kept(wanted.select("node", "label", "signature").join(sets_of(wanted.select("node", "doc_id", "text_key"), docs, forest), "node"), "sets")
+    far = wanted.join(first.where(F.col("n") > forest.deep).select("node").distinct(), "node", "left_semi")
+    second = crowded(planted(far, deeper(forest), forest.values), 1)
+
+    def met(members: DataFrame, order: list[list[int]]) -> DataFrame:
+        order = np.array(order)
+
+        def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            group = group.combine_chunks()
+            names = group.column("node").to_pylist()
+            _, label = np.unique(np.array([x.hex() for x in group.column("label").to_pylist()]), return_inverse=True)
+            values = _matrix(group.column("signature"), forest.values, np.uint32)
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            pairs = linked(label, values, group.column("own").to_numpy() == key[2].as_py(), sets, key[0].as_py(), order, forest)
+            return pa.table({"a": pa.array([min(names[i], names[j]) for i, j in pairs], pa.binary()), "b": pa.array([max(names[i], names[j]) for i, j in pairs], pa.binary())})
+
+        blocks = F.ceil(F.col("n") / forest.block).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node").join(known, "node")
+        return dealt.select("tree", "prefix", "low", "high", "own", "node", "label", "signature", "shingles").groupBy("tree", "prefix", "low", "high").applyInArrow(compare, "a binary, b binary")
+
+    return met(first.where(F.col("n") <= forest.deep), orders(forest)).union(met(second, deeper(forest))).distinct()
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,15 +382,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     firsts = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("one")
     nodes = kept(known.where("node is not null").groupBy("node").agg(firsts, F.first("signature").alias("signature")).select("node", "one.doc_id", "one.text_key", "signature"), "nodes")
     pairs = kept(candidates(nodes, forest), "pairs")
-    read = with_columns(docs, {"doc_id": "long", "text": "string"}).withColumn("text_key", F.xxhash64("text")).alias("t")
-    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
-
-    def texts_for(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = kept(nodes.join(ends, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
-        return kept(read.join(small(wanted, wanted.count(), 48).alias("w"), same).select("w.node", "t.text").dropDuplicates(["node"]), "texts")
-
-    texts = texts_for(pairs)
+    read = with_columns(docs, {"doc_id": "long", "text": "string"}).withColumn("text_key", F.xxhash64("text"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = kept(nodes.join(ends, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
+    texts = kept(texts_of_nodes(wanted, read), "texts")
     each = pairs.select("a", "b", "shared").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
     first = kept(each.withColumn("place", F.row_number().over(best)).where(F.col("place") <= forest.first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
@@ -319,9 +398,9 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     links = links.union(more)
     if not more.isEmpty():
         labels = components(links)
-    left = kept(across(nodes, labels, forest), "across")
+    left = kept(across(nodes, labels, read, forest), "across")
     if not left.isEmpty():
-        labels = components(links.union(confirmed(left, texts_for(left), forest)))
+        labels = components(links.union(left))
     joined = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = joined.join(joined.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("node", "component_id")
     found = known.select("doc_id", "n_shingles", "node").join(named, "node", "left")

@@ -85,13 +85,13 @@ def resolved(pages: DataFrame, least: int = 1000) -> DataFrame:
     headers = pages.where(F.octet_length("html") >= least).select("page_id", "url", "digest")
     groups = headers.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("last"))
     groups = kept(groups.where("n > 1 and last.page_id is not null"), "originals")
-    count, rows = groups.agg(F.count("*"), F.sum("n")).first()
+    rows = groups.agg(F.sum("n")).first()[0]
     hot = groups.where(F.col("n") * 500 >= (rows or 0)).select(F.col("digest").alias("hot"))
     salts = F.when(F.col("n") * 500 >= (rows or 0), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     originals = groups.select("digest", F.explode(salts).alias("salt"), F.col("last.page_id").alias("original"), F.col("last.url").alias("original_url"))
     marked = pages.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
     marked = marked.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).otherwise(0))
-    joined = marked.join(small(originals, count, 160), ["digest", "salt"], "left")
+    joined = marked.join(small(originals), ["digest", "salt"], "left")
     revisit = (F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("original")).alias("original"), F.when(revisit, F.col("original_url")).alias("original_url"))
 

@@ -74,3 +74,34 @@ def test_components(spark):
         assert len(got) == len(labels) == len(ends)
         groups = {frozenset(k for k in ends if labels[name(k)] == x) for x in set(labels.values())}
         assert groups == {frozenset(k for k in ends if find(k) == x) for x in {find(k) for k in ends}}
+
+
+def template_pages(n, own, seed=9):
+    """Pages of one template, each with some words of its own: many lie near the least similarity, on both sides."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(n):
+        page = list(base)
+        for _ in range(r.choice(own)):
+            page[r.randrange(120)] = word()
+        rows.append((k * 31, " ".join(page)))
+    return rows
+
+
+def test_large_regions_are_compared_in_blocks_and_deeper(spark):
+    rows = template_pages(150, [2, 4, 6, 7, 8]) + [(10_000 + i, t) for i, t in template_pages(60, [9, 12], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    # regions and nearest neighbours find little here; blocks of 16 alone, then deeper orders for more than 40
+    for forest in (near_dup.Forest(region=2, near=1, first=1, block=16), near_dup.Forest(region=2, near=1, first=1, block=16, deep=40)):
+        assert Counter(tuple(r) for r in near_dup.near_duplicates(docs, forest).collect()) == want
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(30_000)]
+    near = [w if k % 400 else "other" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "a " * 100_000)]
+    assert Counter(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
