@@ -69,7 +69,8 @@ def start_in(text: Column, published: Column, today: Column) -> Column:
         p = lambda k, pattern=pattern: _part(text, pattern, k)
         hour, minute = (p(3).cast("int"), p(4).cast("int")) if timed else (F.lit(0), F.lit(0))
         out = F.when(text.rlike(pattern), resolved(p(1).cast("int"), month(p(2)), hour, minute, published, today)).otherwise(out)
-    return out
+    # each month has Cyrillic letters
+    return F.when(text.rlike("[а-яёА-ЯЁ]"), out)
 
 
 def deadline_in(text: Column, published: Column, today: Column) -> Column:

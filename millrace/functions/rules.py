@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from millrace.functions import dates, text
 from millrace.functions.dates import let
 from millrace.schemas import ATTENDANCE_TYPES, EVENT_TYPES, INDUSTRIES, ROLES
 
+#: The words below, taken from SURVEY A.1, all have Cyrillic letters, and a text without any is told apart at once.
+CYRILLIC = "[а-яёА-ЯЁ]"
 I = "(?iuU)"
 CANCELLED = I + r"\b(?:не\s+состоится|отмен(?:а|яется|или|[её]н[аоы]?))\b"
 GIVEAWAY = I + r"\b(?:поздравляем\s+победител|итоги\s+(?:конкурса|розыгрыша)|победител[ья]\b)"
@@ -19,11 +23,16 @@ EXPLICIT_END = I + r"\b(?:результаты|итоги|финал|завер
 DURATION = I + r"продолжительность|\b\d+(?:[,.]\d+)?\s*час"
 
 
+#: Names that the zone database of this machine knows.
+ZONES = tuple(sorted(zoneinfo.available_timezones()))
+
+
 def skip_reason(raw: Column, today: Column) -> Column:
     """Why a post is no announcement, by its words alone; null if it may be one."""
     undated = dates.start_in(raw, F.lit(None).cast("date"), today).isNull()
     return (
-        F.when(raw.rlike(CANCELLED) | raw.rlike(GIVEAWAY), "not_event_announcement")
+        F.when(~raw.rlike(CYRILLIC), F.lit(None).cast("string"))
+        .when(raw.rlike(CANCELLED) | raw.rlike(GIVEAWAY), "not_event_announcement")
         .when(raw.rlike(PAST), "past_event_report")
         .when(raw.rlike(ADMISSION) & undated, "not_event_announcement")
     )
@@ -51,28 +60,43 @@ def locations_similar(a: Column, b: Column) -> Column:
     return dates.any_of([near(a[x], b[y]) for x in ("address", "venue_name") for y in ("address", "venue_name")])
 
 
+def facts() -> dict[str, Column]:
+    """What duplicates() reads of an event's columns and prompt_text, so that each event's words are found once."""
+    described = F.coalesce(F.col("description"), F.lit("")) != ""
+    return {
+        "title_set": F.array_sort(text.tokens(F.col("title"))), "description_set": F.when(described, F.array_sort(text.tokens(F.col("description")))), "date_set": F.array_sort(dates.date_tokens(F.col("prompt_text"))),
+        "start_at": F.col("start_at"), "event_type": F.col("event_type"), "industries": F.col("industries"),
+    }
+
+
 def duplicates(a: Column, b: Column) -> Column:
-    """Whether two events (structs of an event's columns and prompt_text) are one by title, date, type, industries and description."""
-    title = text.containment(text.tokens(a["title"]), text.tokens(b["title"]))
+    """Whether two events (structs of facts()) are one by title, date, type, industries and description."""
+    title = text.containment(a["title_set"], b["title_set"])
     no_start = a["start_at"].isNull() | b["start_at"].isNull()
-    shared_date = (title >= 0.8) & F.arrays_overlap(dates.date_tokens(a["prompt_text"]), dates.date_tokens(b["prompt_text"]))
+    shared_date = (title >= 0.8) & F.arrays_overlap(a["date_set"], b["date_set"])
     dated = dates.close(a["start_at"], b["start_at"]) | (no_start & shared_date)
     typed = types_compatible(a["event_type"], b["event_type"]) | ((title >= 0.8) & F.coalesce(a["start_at"] == b["start_at"], F.lit(False)))
-    has = lambda x: F.coalesce(x["description"], F.lit("")) != ""
-    told = (title >= 0.8) | ~has(a) | ~has(b) | (text.containment(text.tokens(a["description"]), text.tokens(b["description"])) >= 0.2)
+    told = (title >= 0.8) | a["description_set"].isNull() | b["description_set"].isNull() | (text.containment(a["description_set"], b["description_set"]) >= 0.2)
     return (title >= 0.65) & dated & typed & industries_compatible(a["industries"], b["industries"]) & told
 
 
+def semantic_facts() -> dict[str, Column]:
+    """What need_semantic_check() reads of an event's columns and prompt_text."""
+    bare = lambda c: text.tokens(text.without_urls(F.col(c)))
+    return {
+        "title_set": text.tokens(F.col("title")), "description_set": bare("description"), "raw_set": bare("prompt_text"), "urls": text.urls(F.col("description"), F.col("prompt_text")),
+        "address_set": text.tokens(F.col("address")), "venue_set": text.tokens(F.col("venue_name")), "event_type": F.col("event_type"), "span": dates.span(F.col("start_at"), F.col("end_at")),
+    }
+
+
 def need_semantic_check(a: Column, b: Column) -> Column:
-    """Whether a model should compare two events that the titles alone don't join."""
-    title = text.containment(text.tokens(a["title"]), text.tokens(b["title"]))
-    bare = lambda x, c: text.tokens(text.without_urls(x[c]))
-    score = F.greatest(*[text.containment(bare(a, c), bare(b, c)) for c in ("description", "prompt_text")])
-    one, two = (dates.span(x["start_at"], x["end_at"]) for x in (a, b))
-    shared = F.arrays_overlap(text.urls(a["description"], a["prompt_text"]), text.urls(b["description"], b["prompt_text"]))
-    by_link = shared & ((score >= 0.15) | (one.eqNullSafe(two) & types_match(a["event_type"], b["event_type"])))
-    near = by_link | (score >= 0.45) | (locations_similar(a, b) & (score >= 0.25))
-    return (title < 0.65) & dates.spans_related(one, two) & F.coalesce(near, F.lit(False))
+    """Whether a model should compare two events (structs of semantic_facts()) that the titles alone don't join."""
+    title = text.containment(a["title_set"], b["title_set"])
+    score = F.greatest(*[text.containment(a[c], b[c]) for c in ("description_set", "raw_set")])
+    by_link = F.arrays_overlap(a["urls"], b["urls"]) & ((score >= 0.15) | (a["span"].eqNullSafe(b["span"]) & types_match(a["event_type"], b["event_type"])))
+    place = dates.any_of([text.containment(a[x], b[y]) >= 0.8 for x in ("address_set", "venue_set") for y in ("address_set", "venue_set")])
+    near = by_link | (score >= 0.45) | (place & (score >= 0.25))
+    return (title < 0.65) & dates.spans_related(a["span"], b["span"]) & F.coalesce(near, F.lit(False))
 
 
 def text_facts(raw: Column, published: Column, today: Column) -> dict[str, Column]:
@@ -112,7 +136,7 @@ def repaired(p: Column) -> dict[str, Column]:
     attendance = F.when(p["attendance_type"].isin(*ATTENDANCE_TYPES), p["attendance_type"]).otherwise("OfflineEventAttendanceMode")
     return {
         "title": F.when(text.is_missing(p["title"]), F.col("_title")).otherwise(text.strip(p["title"])),
-        "timezone": F.when(text.is_missing(p["timezone"]), "unknown").otherwise(text.strip(p["timezone"])),
+        "timezone": F.when(text.strip(p["timezone"]).isin(*ZONES), text.strip(p["timezone"])).otherwise("unknown"),
         "language": F.when(text.is_missing(p["language"]), "ru").otherwise(text.strip(p["language"])),
         "event_type": text.enum_value(p["event_type"], EVENT_TYPES),
         "attendance_type": attendance,

@@ -1,9 +1,11 @@
-"""Duplicate events: blocked pairs, grouping in order, latest kept."""
+"""Duplicate events: blocked pairs of classes, grouping in order, latest kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, rules, text
@@ -11,102 +13,258 @@ from millrace.operators.storage import kept
 
 #: Longest span of days that is dealt day by day; longer ones month by month.
 LONG_SPAN = 60
+#: Days of a bucket; starts that are at most 3 days apart lie in the same or in neighbouring ones.
+BUCKET = 4
 
 
-def _structs(events: DataFrame) -> DataFrame:
-    return events.select("event_pos", F.struct(*[c for c in events.columns if c != "event_pos"]).alias("e"))
+def members_of(events: DataFrame) -> DataFrame:
+    """event_pos, class, and the class's facts: what the duplicate rule reads of an event. Events of equal facts are one class,
+    named by its least event_pos."""
+    facts = events.select("event_pos", *[c.alias(n) for n, c in rules.facts().items()])
+    keyed = kept(facts.withColumn("_key", F.sha2(F.to_json(F.struct(*rules.facts())), 256)))
+    least = keyed.groupBy("_key").agg(F.min("event_pos").alias("class"))
+    return kept(keyed.join(least, "_key").drop("_key"))
 
 
-def duplicate_pairs(events: DataFrame) -> DataFrame:
-    """Pairs (a < b, by event_pos) that are duplicates by rule.
+def classes_of(members: DataFrame) -> DataFrame:
+    """class, its facts as the struct e, and is_pair: whether two events of it are duplicates."""
+    rows = members.where(F.col("event_pos") == F.col("class"))
+    e = F.struct(*[F.col(c) for c in rules.facts()])
+    return rows.select("class", e.alias("e")).withColumn("is_pair", rules.duplicates(F.col("e"), F.col("e")))
+
+
+def probed(rows: DataFrame, tokens: str, share: float, *keys: str) -> DataFrame:
+    """rows by token, with is_probe: whether the token is among those of which a set of at least that share must hold one. The
+    rarest are taken, which spares the frequent ones."""
+    each = rows.select(*keys, tokens, F.explode(tokens).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = each.select(*keys, "token").join(counts, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_ranked"))
+    spread = ranked.select(*keys, F.size("_ranked").alias("size"), F.posexplode("_ranked").alias("_at", "_t"))
+    return spread.select(*keys, "size", F.col("_t.token").alias("token"), (F.col("_at") < F.col("size") - F.ceil(F.col("size") * share) + 1).alias("is_probe"))
+
 
-    The rule asks for titles that share at least 0.65 of the smaller token set, so each pair shares a token; of a title of n
-    tokens, any n - ceil(0.65 n) + 1 must hold a shared one, and the rarest are taken, which spares the frequent ones. Titles of
-    the same tokens are one set, so sets are compared, and events meet only where their sets share enough.
+def duplicate_classes(classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of classes whose events are duplicates by rule.
+
+    The rule asks for titles that share at least 0.65 of the smaller token set, so each pair shares one of the rarest tokens of the
+    smaller set; and for starts at most 3 days apart or, if one lacks a start, for a date that both texts name. So classes meet by
+    token and bucket of days, or by token and named date, and titles are compared before anything else is fetched.
     """
-    titled = events.select("event_pos", F.array_sort(text.tokens(F.col("title"))).alias("set"))
-    each = titled.groupBy("set").agg(F.count("*").alias("events")).select("set", "events", F.explode("set").alias("token"))
-    counts = each.groupBy("token").agg(F.sum("events").alias("n"))
-    ranked = each.join(counts, "token").groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_ranked"))
-    # the smaller set of a pair finds its partner among all tokens of the other
-    probe = F.slice("_ranked", 1, (F.size("_ranked") - F.ceil(F.size("_ranked") * 0.65) + 1).cast("int"))
-    left = ranked.select("set", F.explode(probe).alias("token"))
-    right = ranked.select(F.col("set").alias("other"), F.explode("_ranked").alias("token"))
-    met = left.join(right, "token").where((F.size("set") <= F.size("other")) & (text.containment(F.col("set"), F.col("other")) >= 0.65))
-    sets = met.select(F.least("set", "other").alias("s"), F.greatest("set", "other").alias("t")).distinct()
-    one, two = titled.select(F.col("event_pos").alias("p"), F.col("set").alias("s")), titled.select(F.col("event_pos").alias("q"), F.col("set").alias("t"))
-    pairs = sets.join(one, "s").join(two, "t").where("s != t and p != q or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    rows = _structs(events)
-    both = pairs.join(rows.select(F.col("event_pos").alias("a"), F.col("e").alias("x")), "a").join(rows.select(F.col("event_pos").alias("b"), F.col("e").alias("y")), "b")
-    return both.where(rules.duplicates(F.col("x"), F.col("y"))).select("a", "b")
+    rows = kept(probed(classes.select("class", "e.title_set"), "title_set", 0.65, "class").join(classes.select("class", "e.title_set", "e.start_at", "e.date_set"), "class"))
+    bucket = F.floor(F.unix_date(F.col("start_at").cast("date")) / BUCKET)
+    side = lambda df, at, n: df.select(F.col("class").alias(n), "token", F.explode(at).alias("at"), F.col("title_set").alias(f"{n}_set"), F.col("size").alias(f"{n}_size"), "start_at").withColumnRenamed("start_at", f"{n}_start")
+    dated, probes = rows.where("start_at is not null"), rows.where("is_probe")
+    named = lambda df: side(df, F.col("date_set"), "b")
+    met = [
+        side(dated.where("is_probe"), F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: bucket + k), "a").join(side(dated, F.array(bucket), "b"), ["token", "at"]),
+        side(probes, F.col("date_set"), "a").join(named(rows), ["token", "at"]).where("a_start is null or b_start is null"),
+    ]
+    alike = (F.col("a") != F.col("b")) & (F.col("a_size") <= F.col("b_size")) & (text.containment(F.col("a_set"), F.col("b_set")) >= 0.65)
+    pairs = met[0].where(alike).select("a", "b").union(met[1].where(alike).select("a", "b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = lambda n, x: classes.select(F.col("class").alias(n), F.col("e").alias(x))
+    return pairs.join(e("a", "x"), "a").join(e("b", "y"), "b").where(rules.duplicates(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def related_pairs(spans: DataFrame, pos: str = "event_pos") -> DataFrame:
-    """a < b: rows of pos, first, last whose closed day spans overlap or lie at most a day apart.
+def expanded(members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of events (a < b) that pairs of classes stand for; grouping doesn't need them."""
+    both = pairs.union(classes.where("is_pair").select("class", "class"))
+    of = lambda n, c: members.select(F.col("event_pos").alias(n), F.col("class").alias(c))
+    rows = both.toDF("x", "y").join(of("p", "x"), "x").join(of("q", "y"), "y").where("x != y or p < q")
+    return rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def duplicate_pairs(events: DataFrame) -> DataFrame:
+    """Pairs (a < b, by event_pos) that are duplicates by rule, all of them."""
+    members = members_of(events)
+    classes = kept(classes_of(members))
+    return expanded(members, classes, duplicate_classes(classes))
+
+
+def _dealt(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """spans (pos, first, until) by the days on which they may meet: all of a span's days on the left, its first on the right.
 
     Two spans are related iff [first, last + 1] share a day, and the first day that both have is the one on which the later one
-    starts. So each is dealt to its days and meets there the spans that start then, which makes few rows besides the pairs. Spans
-    of more than LONG_SPAN days are dealt to months instead.
+    starts. Spans of more than LONG_SPAN days are dealt to months.
     """
-    made = spans.select(F.col(pos).alias("pos"), "first", F.date_add("last", 1).alias("until")).where("first is not null")
     long = F.date_diff("until", "first") > LONG_SPAN
+    days = F.transform(F.sequence("first", "until"), lambda d: F.concat(F.lit("d"), d.cast("string")))
+    months = F.transform(F.sequence(F.trunc("first", "month"), F.trunc("until", "month"), F.expr("interval 1 month")), lambda d: F.concat(F.lit("m"), d.cast("string")))
+    own = F.array(F.concat(F.lit("d"), F.col("first").cast("string")), F.concat(F.lit("m"), F.trunc("first", "month").cast("string")))
+    return spans.withColumn("at", F.explode(F.when(long, months).otherwise(days))), spans.withColumn("at", F.explode(own))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], where: Column | None = None) -> DataFrame:
+    l, r = left.alias("l"), right.alias("r")
     later = (F.col("l.first") < F.col("r.first")) | ((F.col("l.first") == F.col("r.first")) & (F.col("l.pos") < F.col("r.pos")))
-    days = made.where(~long).withColumn("at", F.explode(F.sequence("first", "until")))
-    months = made.where(long).withColumn("at", F.explode(F.sequence(F.trunc("first", "month"), F.trunc("until", "month"), F.expr("interval 1 month"))))
-    met = []
-    for dealt, start in ((days, F.col("first")), (months, F.trunc("first", "month"))):
-        both = dealt.alias("l").join(made.withColumn("at", start).alias("r"), "at").where(later & (F.col("r.first") <= F.col("l.until")) & (F.col("l.pos") != F.col("r.pos")))
-        met.append(both.select(F.least("l.pos", "r.pos").alias("a"), F.greatest("l.pos", "r.pos").alias("b")))
-    return met[0].union(met[1])
+    met = l.join(r, on).where(later & (F.col("r.first") <= F.col("l.until")) & (F.col("l.pos") != F.col("r.pos")))
+    return (met if where is None else met.where(where)).select(F.least("l.pos", "r.pos").alias("a"), F.greatest("l.pos", "r.pos").alias("b"))
+
+
+def related_pairs(spans: DataFrame, pos: str = "event_pos") -> DataFrame:
+    """a < b: rows of pos, first, last whose closed day spans overlap or lie at most a day apart."""
+    made = spans.select(F.col(pos).alias("pos"), "first", F.date_add("last", 1).alias("until")).where("first is not null")
+    return _meet(*_dealt(made), ["at"])
+
+
+def related_counts(spans: DataFrame, pos: str = "event_pos") -> DataFrame:
+    """pos, class_id (the least pos of the same span) and n_related: how many other spans each is related to, without their pairs.
+
+    Of all spans, those that start by the day after a's last day, less those that end before the day before its first. So running
+    counts by day are enough, a row for each day that occurs. Rows without a span have none.
+    """
+    made = spans.select(F.col(pos).alias("pos"), "first", F.date_add("last", 1).alias("until"))
+    known = made.where("first is not null")
+    days = known.select(F.col("first").alias("day"), F.lit(1).alias("starts"), F.lit(0).alias("ends")).union(known.select("until", F.lit(0), F.lit(1)))
+    # a calendar's worth of rows
+    before = Window.orderBy("day")
+    days = kept(days.groupBy("day").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends")).select("day", F.sum("starts").over(before).alias("started"), (F.sum("ends").over(before) - F.col("ends")).alias("ended")))
+    classes = known.groupBy("first", "until").agg(F.min("pos").alias("class_id"))
+    by_first, by_until = days.select(F.col("day").alias("first"), "ended"), days.select(F.col("day").alias("until"), "started")
+    counted = classes.join(by_first, "first").join(by_until, "until").select("first", "until", "class_id", (F.col("started") - F.col("ended") - 1).alias("n_related"))
+    found = made.join(counted, ["first", "until"], "left")
+    return found.select(F.col("pos").alias(pos), F.coalesce("class_id", "pos").alias("class_id"), F.coalesce("n_related", F.lit(0)).alias("n_related"))
 
 
 def semantic_pairs(events: DataFrame) -> DataFrame:
-    """Pairs that a model should compare."""
-    span = dates.span(F.col("start_at"), F.col("end_at"))
-    pairs = related_pairs(events.select("event_pos", span["first"].alias("first"), span["last"].alias("last")))
-    rows = _structs(events)
-    both = pairs.join(rows.select(F.col("event_pos").alias("a"), F.col("e").alias("x")), "a").join(rows.select(F.col("event_pos").alias("b"), F.col("e").alias("y")), "b")
-    return both.where(rules.need_semantic_check(F.col("x"), F.col("y"))).select("a", "b")
-
-
-def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """event_pos, component: the least event_pos reachable over pairs; a written table for each round."""
-    both = kept(pairs.select(F.col("a").alias("event_pos"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct())
-    labels = kept(both.groupBy("event_pos").agg(F.least("event_pos", F.min("other")).alias("component")))
+    """Pairs (a < b) that a model should compare: related spans, unlike titles, and a shared link, like texts or like places.
+
+    They meet by day and URL, by day and one of the rarest tokens of a text (a score of 0.45 without a shared link asks for one),
+    or by day and one of a place's; spans alone never make a pair.
+    """
+    rows = kept(events.select(F.col("event_pos").alias("pos"), *[c.alias(n) for n, c in rules.semantic_facts().items()]).withColumns({"first": F.col("span.first"), "until": F.date_add("span.last", 1)}).where("span is not null"))
+    keys = ("pos", "first", "until")
+    links = rows.select(*keys, F.explode("urls").alias("token"))
+    left, right = _dealt(links)
+    met = _meet(left, right, ["at", "token"])
+    smaller = (F.col("l.size") <= F.col("r.size")) & F.col("l.is_probe") | (F.col("r.size") <= F.col("l.size")) & F.col("r.is_probe")
+    for column, share in (("description_set", 0.45), ("raw_set", 0.45)):
+        tokens = kept(probed(rows, column, share, *keys))
+        left, right = _dealt(tokens)
+        met = met.union(_meet(left, right, ["at", "token"], smaller))
+    # each of address and venue may match either
+    places = rows.select(*keys, F.lit(0).alias("place"), F.col("address_set").alias("s")).union(rows.select(*keys, F.lit(1), "venue_set"))
+    tokens = kept(probed(places, "s", 0.8, *keys, "place"))
+    left, right = _dealt(tokens)
+    met = met.union(_meet(left, right, ["at", "token"], smaller)).distinct()
+    e = lambda n, x: rows.select(F.col("pos").alias(n), F.struct(*rules.semantic_facts()).alias(x))
+    return met.join(e("a", "x"), "a").join(e("b", "y"), "b").where(rules.need_semantic_check(F.col("x"), F.col("y"))).select("a", "b")
+
+
+def components(nodes: DataFrame, pairs: DataFrame, pos: str = "event_pos") -> DataFrame:
+    """pos, component: the least pos reachable over pairs; a written table for each round."""
+    both = kept(pairs.select(F.col("a").alias(pos), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct())
+    labels = kept(both.groupBy(pos).agg(F.least(pos, F.min("other")).alias("component")))
     while True:
-        ends = labels.select(F.col("event_pos").alias("other"), F.col("component").alias("theirs"))
-        met = both.join(labels, "event_pos").join(ends, "other")
+        ends = labels.select(F.col(pos).alias("other"), F.col("component").alias("theirs"))
+        met = both.join(labels, pos).join(ends, "other")
         # a row's own label and the row that names its label both hear of the other's
-        news = met.select("event_pos", F.col("theirs").alias("component")).union(met.select(F.col("component").alias("event_pos"), F.col("theirs").alias("component"))).union(labels)
-        least = news.groupBy("event_pos").agg(F.min("component").alias("component"))
-        up = least.select(F.col("event_pos").alias("component"), F.col("component").alias("above"))
-        old, labels = labels, kept(least.join(up, "component").select("event_pos", F.col("above").alias("component")))
-        if labels.join(old, ["event_pos", "component"], "left_anti").isEmpty():
-            return nodes.select("event_pos").join(labels, "event_pos", "left").select("event_pos", F.coalesce("component", "event_pos").alias("component"))
+        news = met.select(pos, F.col("theirs").alias("component")).union(met.select(F.col("component").alias(pos), F.col("theirs").alias("component"))).union(labels)
+        least = news.groupBy(pos).agg(F.min("component").alias("component"))
+        up = least.select(F.col(pos).alias("component"), F.col("component").alias("above"))
+        old, labels = labels, kept(least.join(up, "component").select(pos, F.col("above").alias("component")))
+        if labels.join(old, [pos, "component"], "left_anti").isEmpty():
+            return nodes.select(pos).join(labels, pos, "left").select(pos, F.coalesce("component", pos).alias("component"))
+
+
+def _linked(members: DataFrame, classes: DataFrame, pairs: DataFrame, extra: DataFrame) -> DataFrame:
+    """class, component: over pairs of classes and those of extra pairs of events."""
+    of = lambda n: members.select(F.col("event_pos").alias(n), F.col("class").alias(f"{n}_class"))
+    more = extra.join(of("a"), "a").join(of("b"), "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+    return kept(components(classes, pairs.union(more.where("a != b")), "class"))
 
 
-def grouped(events: DataFrame, pairs: DataFrame) -> DataFrame:
+class _Groups:
+    """Groups of one component's events, which come in order. An event joins the first group that holds one of its duplicates, else
+    opens one named by itself. Of each class and group the first event is known, which is all that later events ask for."""
+
+    def __init__(self):
+        self.near: dict[int, list[int]] = {}
+        self.first: dict[int, dict[int, int]] = {}
+        self.extra: dict[int, list[int]] = {}
+        self.group: dict[int, int] = {}
+
+    def by_rule(self, of: int) -> tuple[int, int] | None:
+        """The first group with a duplicate by rule, and its first duplicate."""
+        return min(((g, p) for c in self.near.get(of, ()) for g, p in self.first.get(c, {}).items()), default=None)
+
+    def put(self, pos: int, of: int, group: int) -> None:
+        self.first.setdefault(of, {}).setdefault(group, pos)
+        self.group[pos] = group
+
+
+def grouped(members: DataFrame, classes: DataFrame, pairs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """event_pos, group_pos: each event in order joins the first group that holds one of its duplicates, else opens one.
 
-    Groups never merge, so this is neither pairwise nor the components; but it is the same within each component alone, which is
-    one task's work. group_pos is the first member's place.
+    Groups never merge, so this is neither pairwise nor the components; but it is the same within each component alone. A task
+    reads a component's pairs of classes and then its events one by one, so what it holds follows the classes. extra: few further
+    pairs of events. group_pos is the first member's place.
     """
-    linked = components(events, pairs)
-    rows = pairs.join(linked.select(F.col("event_pos").alias("b"), "component"), "b").select("component", "a", "b")
+    extra = extra if extra is not None else members.select(F.col("event_pos").alias("a"), F.col("event_pos").alias("b")).limit(0)
+    linked = _linked(members, classes, pairs, extra)
+    label = lambda c: linked.select(F.col("class").alias(c), "component")
+    edges = pairs.union(classes.where("is_pair").select("class", "class")).toDF("x", "y").join(label("x"), "x").select("component", F.lit(0).alias("kind"), "x", "y")
+    more = extra.join(members.select(F.col("event_pos").alias("a"), "class"), "a").join(linked, "class").select("component", F.lit(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"))
+    rows = edges.union(more).union(members.join(linked, "class").select("component", F.lit(2).alias("kind"), "event_pos", "class"))
 
-    def greedy(key: tuple[pa.Scalar, ...], edges: pa.Table) -> pa.Table:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
-            near.setdefault(b, []).append(a)
-            near.setdefault(a, [])
-        group: dict[int, int] = {}
-        for pos in sorted(near):
-            # groups are in the order of their first members
-            group[pos] = min((group[k] for k in near[pos]), default=pos)
-        return pa.table({"event_pos": pa.array(list(group), pa.int64()), "group_pos": pa.array(list(group.values()), pa.int64())})
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, groups, wanted = None, _Groups(), set()
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for component, kind, x, y in zip(*(batch.column(c).to_pylist() for c in ("component", "kind", "x", "y")), strict=True):
+                if component != last:
+                    last, groups, wanted = component, _Groups(), set()
+                if kind == 0:
+                    groups.near.setdefault(x, []).append(y)
+                    if x != y:
+                        groups.near.setdefault(y, []).append(x)
+                elif kind == 1:
+                    groups.extra.setdefault(y, []).append(x)
+                    wanted.add(x)
+                else:
+                    found = groups.by_rule(y)
+                    near = [groups.group[k] for k in groups.extra.get(x, ())]
+                    group = min([*near, *([found[0]] if found else [])], default=x)
+                    groups.put(x, y, group)
+                    if x not in wanted:
+                        del groups.group[x]
+                    out.append((x, group))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], ["event_pos", "group_pos"])
 
-    placed = rows.groupBy("component").applyInArrow(greedy, "event_pos long, group_pos long")
-    return events.select("event_pos").join(placed, "event_pos", "left").select("event_pos", F.coalesce("group_pos", "event_pos").alias("group_pos"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "component").sortWithinPartitions("component", "kind", "x", "y").mapInArrow(greedy, "event_pos long, group_pos long")
+
+
+def consulted(members: DataFrame, classes: DataFrame, pairs: DataFrame, candidates: DataFrame, decide: Callable[[int, int], bool], most: int = 32) -> list[tuple[int, int]]:
+    """The candidate pairs that the model finds to be the same event; at most `most` are asked for, one after another.
+
+    Which pairs come up depends on the answers before, in the order of a sequential run, so the run is gone through in order here:
+    only components with candidates, as a stream of events that ends when no more may be asked.
+    """
+    linked = _linked(members, classes, pairs, candidates)
+    asked_for = candidates.join(members.select(F.col("event_pos").alias("a"), "class"), "a").join(linked, "class").select("component").distinct()
+    both = pairs.union(pairs.select("b", "a")).union(classes.where("is_pair").select("class", "class")).toDF("class", "other")
+    near = both.groupBy("class").agg(F.collect_list("other").alias("near"))
+    lower = candidates.groupBy(F.col("b").alias("event_pos")).agg(F.array_sort(F.collect_list("a")).alias("lower"))
+    rows = members.select("event_pos", "class").join(linked.join(asked_for, "component", "left_semi"), "class").join(near, "class", "left").join(lower, "event_pos", "left")
+    groups, same, asked = _Groups(), [], 0
+    for r in rows.select("event_pos", "class", "near", "lower").orderBy("event_pos").toLocalIterator():
+        if r.near:
+            groups.near[r["class"]] = r.near
+        found, group = groups.by_rule(r["class"]), None
+        for g, k in sorted((groups.group[k], k) for k in r.lower or ()):
+            if found is not None and (g, k) > found:
+                break
+            if asked == most:
+                return same
+            asked += 1
+            if decide(k, r.event_pos):
+                same.append((k, r.event_pos))
+                group = g
+                break
+        group = group if group is not None else found[0] if found else r.event_pos
+        groups.put(r.event_pos, r["class"], group)
+    return same
 
 
 def latest(members: DataFrame, group: str = "group_pos", pos: str = "event_pos", at: str = "published_ts") -> DataFrame:
@@ -116,14 +274,21 @@ def latest(members: DataFrame, group: str = "group_pos", pos: str = "event_pos",
     return members.join(best, group).withColumn("duplicate_of", F.when(F.col("_kept") != F.col(pos), F.col("_kept"))).drop("_kept")
 
 
-def deduplicated(events: DataFrame, extra_pairs: DataFrame | None = None) -> DataFrame:
+def deduplicated(events: DataFrame, decide: Callable[[int, int], bool] | None = None, most: int = 32) -> DataFrame:
     """events (event_pos, the event's columns, prompt_text, published_ts) with group_pos and duplicate_of.
 
-    extra_pairs: pairs that a model found to be the same event.
+    decide: a model's answer whether two events, by event_pos, are the same; asked for at most `most` pairs, on the driver.
     """
-    pairs = duplicate_pairs(events)
-    pairs = kept(pairs.union(extra_pairs.select("a", "b")).distinct() if extra_pairs is not None else pairs)
-    return latest(events.join(grouped(events, pairs), "event_pos"))
+    members = members_of(events)
+    classes = kept(classes_of(members))
+    pairs = kept(duplicate_classes(classes))
+    extra = None
+    if decide is not None:
+        candidates = kept(semantic_pairs(events))
+        if not candidates.isEmpty():
+            same = consulted(members, classes, pairs, candidates, decide, most)
+            extra = events.sparkSession.createDataFrame(same, "a long, b long") if same else None
+    return latest(events.join(grouped(members, classes, pairs, extra), "event_pos"))
 
 
 def write_back(outcomes: DataFrame, events: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import dates, rules, text
-from millrace.operators.guards import with_limits
-from millrace.schemas import ATTENDANCE_TYPES, EVENT, EVENT_TYPES, INDUSTRIES, PAYLOAD, ROLES, SKIP_REASONS
+from millrace.operators.guards import eligible, with_limits
+from millrace.schemas import ATTENDANCE_TYPES, EVENT, EVENT_TYPES, INDUSTRIES, MERGE, PAYLOAD, ROLES, SKIP_REASONS
 
 RESPONSE = T.StructType([T.StructField("is_event", T.StringType()), T.StructField("skip_reason", T.StringType()), T.StructField("event", PAYLOAD), T.StructField("events", T.ArrayType(PAYLOAD))])
 
@@ -75,14 +75,11 @@ def expanded(df: DataFrame, today: Column) -> DataFrame:
     return df.withColumn("payloads", F.when((F.size("payloads") == 1) & (F.size("_starts") >= 2), clone).otherwise(F.col("payloads"))).drop("_starts")
 
 
-def outcomes(answered: DataFrame, today: Column | None = None, max_errors: int | None = None) -> DataFrame:
-    """outcome_index, status, events, post columns, errors of each post (post_pos, the post's columns, prompt_text, guard, first_pos,
-    response, error).
+def judged(df: DataFrame, today: Column) -> DataFrame:
+    """df (of parsed() and expanded()) with events, errors, status and is_daily_limit, row by row.
 
-    One invalid event makes its post invalid, and its events are then left out. All is done within a row but the limits.
+    One invalid event makes its post invalid, and its events are then left out.
     """
-    today = F.current_date() if today is None else today
-    df = expanded(parsed(answered), today)
     published, raw = dates.published_date(F.col("published_at")), F.col("prompt_text")
 
     def event(p: Column, d: Column) -> Column:
@@ -106,36 +103,47 @@ def outcomes(answered: DataFrame, today: Column | None = None, max_errors: int |
     df = df.withColumn("errors", errors)
     status = F.when(guard.isNotNull() | F.col("skip_reason").isNotNull(), "skipped").when(problem.isNotNull(), "llm_error").when(F.size("errors") > 0, "invalid").otherwise("extracted")
     df = df.withColumn("status", status).withColumn("is_daily_limit", F.coalesce(problem == "daily_rate_limit_exceeded", F.lit(False)))
-    # what the model skipped was asked for, yet counts as no error; guards stay as they are
-    df = with_limits(df, max_errors, "post_pos")
-    limited = F.col("limit").isNotNull() & guard.isNull()
-    limit_field = F.when(F.col("limit") == "error_limit_reached", "batch").otherwise("llm")
-    df = df.withColumn("errors", F.when(limited, F.array(F.struct(limit_field.alias("field"), F.col("limit").alias("code"), F.col("limit").alias("message")))).otherwise(F.col("errors")))
-    events = F.when(F.col("status") == "extracted", F.transform("_made", lambda x: x["e"]))
-    return df.select(F.col("post_pos").alias("outcome_index"), "status", events.alias("events"), *[c for c in ("text", "raw_text", "source_name", "source_url", "published_at", "external_id", "is_pinned") if c in df.columns], "errors", F.col("first_pos").alias("duplicate_of_post"))
-
-
-def needs_date_repair(found: DataFrame) -> DataFrame:
-    """The outcomes whose answer is asked for once more, with its errors."""
-    return found.where(F.exists("errors", lambda e: e["message"] == "end_at must not be before start_at"))
+    return df.withColumn("events", F.when(F.col("status") == "extracted", F.transform("_made", lambda x: x["e"]))).drop("_made", "_found", *rules.text_facts(raw, published, today))
 
 
-def refined_type(event_type: Column, answer: Column) -> Column:
-    """The type after refinement: asked for if not in the domain or SocialEvent; a bad answer leaves an allowed type alone."""
-    asked = ~event_type.isin(*EVENT_TYPES) | (event_type == "SocialEvent")
-    fallback = F.when(event_type.isin(*EVENT_TYPES), event_type).otherwise("SocialEvent")
-    return F.when(asked, F.when(answer.isin(*EVENT_TYPES), answer).otherwise(fallback)).otherwise(event_type)
+def limited(df: DataFrame, max_errors: int | None = None) -> DataFrame:
+    """Outcome rows of judged ones, after the error budget and the daily latch. metadata may be missing."""
+    df = with_limits(df.withColumn("eligible", eligible(F.col("guard"))), max_errors, "post_pos")
+    hit = F.col("limit").isNotNull()
+    field = F.when(F.col("limit") == "error_limit_reached", "batch").otherwise("llm")
+    errors = F.when(hit, F.array(F.struct(field.alias("field"), F.col("limit").alias("code"), F.col("limit").alias("message")))).otherwise(F.col("errors"))
+    df = df.withColumns({"errors": errors, "events": F.when(F.col("status") == "extracted", F.col("events"))})
+    if "metadata" in df.columns:
+        # what a row got from a model that a run in order would not have asked is none of its own
+        df = df.withColumn("metadata", F.when(hit & ~F.coalesce(F.col("is_daily_limit"), F.lit(False)), F.to_json(F.struct("batch_index"))).otherwise(F.col("metadata")))
+    columns = [c for c in ("text", "raw_text", "source_name", "source_url", "published_at", "external_id", "is_pinned") if c in df.columns]
+    more = [F.col("metadata"), F.lit(None).cast(MERGE).alias("merge")] if "metadata" in df.columns else []
+    return df.select(F.col("post_pos").alias("outcome_index"), "status", "events", *columns, "errors", F.col("first_pos").alias("duplicate_of_post"), *more)
 
 
-def refined_title(title: Column, answer: Column, raw: Column) -> Column:
-    """The refined title if it isn't blank and the post's text supports it."""
-    new = text.blank_to_null(answer)
-    return F.when(new.isNotNull() & text.title_supported(new, raw), new).otherwise(title)
-
-
-def merged(fresh: Column, answer: Column) -> Column:
-    """The kept event with the five descriptive fields of a merge answer; a null never erases what is there."""
-    fields = ("description", "relevant_roles", "industries", "skills", "target_audience_text")
-    for c in fields:
-        fresh = fresh.withField(c, F.coalesce(answer[c], fresh[c]))
-    return fresh
+def outcomes(answered: DataFrame, today: Column | None = None, max_errors: int | None = None) -> DataFrame:
+    """outcome_index, status, events, post columns, errors of each post (post_pos, the post's columns, prompt_text, guard, first_pos,
+    response, error), without the model's further steps."""
+    today = F.current_date() if today is None else today
+    return limited(judged(expanded(parsed(answered), today), today), max_errors)
+
+
+def validated(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """payloads (JSON texts) with errors: what is wrong with each as an event on its own. Here unknown fields count, as they are
+    dropped only on the way from a model's answer."""
+    tree = F.try_parse_json(column)
+    is_object = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
+    issue = lambda field, code, message: F.struct(field.alias("field"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+    df = payloads.withColumn("_p", F.from_json(F.when(is_object, F.col(column)), PAYLOAD)).withColumn("_keys", F.when(is_object, F.json_object_keys(column)))
+    odd = F.transform(F.filter("_keys", lambda k: ~k.isin(*PAYLOAD.names)), lambda k: issue(k, "unexpected_field", "unexpected field"))
+    dated = F.struct(*[(dates.local_time(F.col("_p")[c]) if c in ("start_at", "end_at") else F.col("_p")[c]).alias(c) for c in PAYLOAD.names])
+    blank = lambda c: F.coalesce(text.strip(F.col("_p")[c]), F.lit("")) == ""
+    missing = F.array_compact(F.array(*[F.when(blank(c), issue(F.lit(c), "invalid_field", "must not be blank")) for c in ("title", "language", "timezone", "raw_text")]))
+    found = F.concat(odd, missing, rules.errors_of(F.col("_p"), dated))
+    none = F.array(issue(F.lit("root"), "invalid_type", "not an object"))
+    return df.withColumn("errors", F.when(is_object, found).otherwise(none)).drop("_p", "_keys")
+
+
+def needs_date_repair(errors: Column) -> Column:
+    """Whether an answer is asked for once more, with its errors."""
+    return F.exists(errors, lambda e: (e["code"] == "invalid_field") & e["field"].endswith("end_at") & (e["message"] == "end_at must not be before start_at"))

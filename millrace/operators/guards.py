@@ -12,12 +12,11 @@ def prompt_text(raw: str = "raw_text", plain: str = "text") -> Column:
     return F.coalesce(F.col(raw), F.col(plain))
 
 
-def guarded(posts: DataFrame, today: Column | None = None, skip_empty: bool = True, skip_duplicates: bool = True) -> DataFrame:
-    """posts with prompt_text, first_pos (of the same post, if it isn't the first) and guard: why no model is asked, or null.
+def first_occurrences(posts: DataFrame, skip_empty: bool = True, skip_duplicates: bool = True) -> DataFrame:
+    """posts with prompt_text, first_pos (of the same post, if it isn't the first) and repeat: empty_post, duplicate_post or null.
 
-    Blank posts come first and are nobody's first occurrence; then repeats; then the words of the text.
+    Blank posts come first and are nobody's first occurrence.
     """
-    today = F.current_date() if today is None else today
     posts = posts.withColumn("prompt_text", prompt_text())
     blank = (F.coalesce(text.strip(F.col("prompt_text")), F.lit("")) == "") & F.lit(skip_empty)
     posts = posts.withColumn("_blank", blank).withColumn("_key", text.post_key(F.when(~F.col("_blank"), F.col("external_id")), F.col("prompt_text")))
@@ -29,8 +28,21 @@ def guarded(posts: DataFrame, today: Column | None = None, skip_empty: bool = Tr
         posts = posts.join(first, "_key", "left").withColumn("first_pos", F.when(F.col("first_pos") < F.col("post_pos"), F.col("first_pos")))
     else:
         posts = posts.withColumn("first_pos", F.lit(None).cast("long"))
-    guard = F.when(F.col("_blank"), "empty_post").when(F.col("first_pos").isNotNull(), "duplicate_post").otherwise(rules.skip_reason(F.col("prompt_text"), today))
-    return posts.withColumn("guard", guard).drop("_key", "_blank")
+    repeat = F.when(F.col("_blank"), "empty_post").when(F.col("first_pos").isNotNull(), "duplicate_post")
+    return posts.withColumn("repeat", repeat).drop("_key", "_blank")
+
+
+def guarded(posts: DataFrame, today: Column | None = None, skip_empty: bool = True, skip_duplicates: bool = True) -> DataFrame:
+    """posts with prompt_text, first_pos, and guard: why no model is asked, or null. Words of the text come after repeats."""
+    today = F.current_date() if today is None else today
+    posts = first_occurrences(posts, skip_empty, skip_duplicates)
+    return posts.withColumn("guard", F.coalesce("repeat", rules.skip_reason(F.col("prompt_text"), today))).drop("repeat")
+
+
+def eligible(guard: Column) -> Column:
+    """Whether the error budget and the daily latch concern a post: all but blank and repeated ones. Those that their words or the
+    model skip are tested like the others, before they are looked at."""
+    return ~F.coalesce(guard.isin("empty_post", "duplicate_post"), F.lit(False))
 
 
 def running_before(df: DataFrame, value: str, pos: str = "pos", out: str = "before", width: int = 65536) -> DataFrame:
@@ -48,20 +60,19 @@ def running_before(df: DataFrame, value: str, pos: str = "pos", out: str = "befo
 
 
 def with_limits(results: DataFrame, max_errors: int | None = None, pos: str = "pos") -> DataFrame:
-    """results (pos, status, is_daily_limit) with status after the daily latch and the error budget.
+    """results (pos, status, is_daily_limit, eligible) with status after the daily latch and the error budget.
 
-    After the first daily limit all later model results are llm_error. A row is skipped if as many errors as allowed came before
-    it; what was skipped by a guard stays as it is and counts for nothing. Adds limit: daily_rate_limit_exceeded,
-    error_limit_reached or null.
+    After the first daily limit all later eligible rows are llm_error and count as errors. An eligible row is skipped if as many
+    errors as allowed came before it. Rows that aren't eligible stay as they are and count for nothing. Adds limit:
+    daily_rate_limit_exceeded, error_limit_reached or null.
     """
-    asked = F.col("status") != "skipped"
-    latch = results.where(asked & F.col("is_daily_limit")).agg(F.min(pos).alias("_latch"))
+    latch = results.where(F.col("eligible") & F.col("is_daily_limit")).agg(F.min(pos).alias("_latch"))
     df = results.withColumn("_latch", F.lit(latch.first()[0]).cast("long"))
-    df = df.withColumn("_daily", F.coalesce(asked & (F.col(pos) >= F.col("_latch")), F.lit(False)))
-    df = df.withColumn("_error", (F.col("_daily") | F.col("status").isin("invalid", "llm_error")).cast("long"))
+    df = df.withColumn("_daily", F.coalesce(F.col("eligible") & (F.col(pos) >= F.col("_latch")), F.lit(False)))
+    df = df.withColumn("_error", (F.col("eligible") & (F.col("_daily") | F.col("status").isin("invalid", "llm_error"))).cast("long"))
     if max_errors is not None:
         df = running_before(df, "_error", pos, "_before")
-    over = asked & (F.col("_before") >= max_errors) if max_errors is not None else F.lit(False)
+    over = F.col("eligible") & (F.col("_before") >= max_errors) if max_errors is not None else F.lit(False)
     df = df.withColumn("limit", F.when(over, "error_limit_reached").when(F.col("_daily"), "daily_rate_limit_exceeded"))
     df = df.withColumn("status", F.when(over, "skipped").when(F.col("_daily"), "llm_error").otherwise(F.col("status")))
     return df.drop("_latch", "_daily", "_error", "_before")

@@ -74,19 +74,24 @@ def _post(url: str, payload: dict, headers: dict[str, str], timeout: float) -> s
 
 @dataclass
 class ChatModel:
-    """A chat endpoint over HTTP. style: "openai" for chat/completions, "ollama" for /api/chat. strict: send the schema itself."""
+    """A chat endpoint over HTTP. style: "openai" for chat/completions, "ollama" for /api/chat. strict: the schema binds."""
 
     url: str
     model: str
     style: str = "openai"
     api_key: str | None = None
     strict: bool = False
+    #: Whether the endpoint takes a schema; otherwise it is asked for any JSON object.
+    with_schema: bool = True
     timeout: float = 120.0
     retries: int = 3
     pace: Pace = field(default_factory=Pace)
     post: Callable[[str, dict, dict, float], str] = _post
     sleep: Callable[[float], None] = time.sleep
 
+    def complete_with_schema(self, system: str, user: str, schema: dict) -> str:
+        return self.complete(system, user, schema if self.with_schema else None)
+
     def complete(self, system: str, user: str, schema: dict | None = None) -> str:
         messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
         if self.style == "ollama":
@@ -120,13 +125,17 @@ def prompt_key(system: Column, user: Column, model: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(model), system, user), 256)
 
 
-def answers(prompts: DataFrame, model_of: Callable[[], object], stored: DataFrame | None = None, retries: int = 0) -> DataFrame:
-    """prompt_key, response, error for each distinct prompt (prompt_key, system, user).
+def answers(prompts: DataFrame, model_of: Callable[[], object], stored: DataFrame | None = None, retries: int = 0, schema: dict | None = None, tasks: int | None = None) -> DataFrame:
+    """prompt_key, response, error for each distinct prompt (prompt_key, system, user, and at: its place, if order matters).
 
     Stored answers are taken first. Only the rest is asked, once each, in tasks that make their own model by model_of(); what
-    comes back is written before anything reads it, as an answer asked twice may differ. After a daily limit a task asks no more.
+    comes back is written before anything reads it, as an answer asked twice may differ. After a daily limit a task asks no more;
+    it asks in order, so no prompt before the one that met the limit is left out for it.
+    schema goes to models that have complete_with_schema(). tasks: at most so many ask at once, each at its share of the model's
+    pace, so that the run as a whole keeps it.
     """
-    prompts = prompts.select("prompt_key", "system", "user").dropDuplicates(["prompt_key"])
+    at = F.min("at") if "at" in prompts.columns else F.lit(0)
+    prompts = prompts.groupBy("prompt_key").agg(F.first("system").alias("system"), F.first("user").alias("user"), at.alias("at"))
     if stored is not None:
         stored = stored.select("prompt_key", "response", "error").where("error is null").dropDuplicates(["prompt_key"])
         known = stored.join(prompts.select("prompt_key"), "prompt_key", "left_semi")
@@ -138,10 +147,14 @@ def answers(prompts: DataFrame, model_of: Callable[[], object], stored: DataFram
             rows = []
             for key, system, user in zip(*(batch.column(c).to_pylist() for c in ("prompt_key", "system", "user")), strict=True):
                 response, error = None, "daily_limit" if daily else None
-                model = model or model_of()
+                if model is None:
+                    model = model_of()
+                    if tasks and isinstance(getattr(model, "pace", None), Pace):
+                        model.pace.seconds *= tasks
                 for attempt in range(0 if daily else retries + 1):
                     try:
-                        response, error = model.complete(system, user), None
+                        bound = getattr(model, "complete_with_schema", None) if schema else None
+                        response, error = bound(system, user, schema) if bound else model.complete(system, user), None
                         break
                     except Exception as e:
                         daily = getattr(e, "daily", False)
@@ -151,5 +164,6 @@ def answers(prompts: DataFrame, model_of: Callable[[], object], stored: DataFram
                 rows.append((key, response, error))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, ["prompt_key", "response", "error"])
 
-    asked = kept(prompts.mapInArrow(ask, ANSWERS))
+    prompts = prompts.repartition(tasks, "prompt_key") if tasks else prompts
+    asked = kept(prompts.sortWithinPartitions("at").select("prompt_key", "system", "user").mapInArrow(ask, ANSWERS))
     return known.unionByName(asked) if stored is not None else asked

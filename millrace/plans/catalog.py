@@ -76,7 +76,7 @@ def query(sql: str | None = None):
     k as (select doc_id, case when doc_id % 5 = 0 then 'external_id:vk:wall-7_' || (doc_id // 10) else 'text:' || key end as key from p where key <> '')
     select doc_id as post_pos, min(doc_id) over (partition by key) as first_pos from k""")
 def post_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = guards.guarded(_posts(spark, sf_dir), _day()).where("guard is null or guard != 'empty_post'")
+    found = guards.first_occurrences(_posts(spark, sf_dir)).where("repeat is null or repeat != 'empty_post'")
     return found.select("post_pos", F.coalesce("first_pos", "post_pos").alias("first_pos"))
 
 
@@ -93,12 +93,13 @@ def blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    status = F.when(kind == "purchase", "extracted").when(kind == "click", "skipped").when(kind == "error", "llm_error").when(kind == "signup", "invalid").otherwise("extracted")
-    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), status.alias("status"), (kind == "error").alias("is_daily_limit"), "user_id")
+    """Results of posts, of which every seventh is blank and clicks are skipped by the model."""
+    kind, eligible = F.col("event_type"), F.col("event_id") % 7 != 0
+    status = F.when(~eligible, "skipped").when(kind == "purchase", "extracted").when(kind == "click", "skipped").when(kind == "error", "llm_error").when(kind == "signup", "invalid").otherwise("extracted")
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), status.alias("status"), (kind == "error").alias("is_daily_limit"), eligible.alias("eligible"), "user_id")
 
 
-STATUS_SQL = "case event_type when 'purchase' then 'extracted' when 'click' then 'skipped' when 'error' then 'llm_error' when 'signup' then 'invalid' else 'extracted' end"
+STATUS_SQL = "case when event_id % 7 = 0 then 'skipped' else case event_type when 'purchase' then 'extracted' when 'click' then 'skipped' when 'error' then 'llm_error' when 'signup' then 'invalid' else 'extracted' end end"
 
 
 @query(f"""select count(*) as total, count(*) filter (status = 'extracted') as extracted, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'invalid') as invalid,
@@ -108,15 +109,15 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.status_counts(_statuses(spark, sf_dir).withColumn("cached", F.col("user_id") % 2 == 0))
 
 
-@query(f"""with s as (select event_id as pos, {STATUS_SQL} as status from events),
+@query(f"""with s as (select event_id as pos, {STATUS_SQL} as status, event_id % 7 <> 0 as eligible from events),
     b as (select *, coalesce(sum((status in ('invalid', 'llm_error'))::int) over (order by pos rows between unbounded preceding and 1 preceding), 0) as before from s)
-    select pos, case when status <> 'skipped' and before >= 25 then 'skipped' else status end as status, case when status <> 'skipped' and before >= 25 then 'error_limit_reached' end as "limit" from b""")
+    select pos, case when eligible and before >= 25 then 'skipped' else status end as status, case when eligible and before >= 25 then 'error_limit_reached' end as "limit" from b""")
 def error_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.with_limits(_statuses(spark, sf_dir).withColumn("is_daily_limit", F.lit(False)), 25).select("pos", "status", "limit")
 
 
-@query(f"""with s as (select event_id as pos, {STATUS_SQL} as status, user_id from events), l as (select min(pos) as p from s where status <> 'skipped' and user_id % 50 = 7)
-    select pos, case when status <> 'skipped' and pos >= p then 'llm_error' else status end as status, case when status <> 'skipped' and pos >= p then 'daily_rate_limit_exceeded' end as "limit" from s, l""")
+@query(f"""with s as (select event_id as pos, {STATUS_SQL} as status, event_id % 7 <> 0 as eligible, user_id from events), l as (select min(pos) as p from s where eligible and user_id % 50 = 7)
+    select pos, case when eligible and pos >= p then 'llm_error' else status end as status, case when eligible and pos >= p then 'daily_rate_limit_exceeded' end as "limit" from s, l""")
 def daily_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.with_limits(_statuses(spark, sf_dir).withColumn("is_daily_limit", F.col("user_id") % 50 == 7)).select("pos", "status", "limit")
 
@@ -149,7 +150,7 @@ def last_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with c as (select doc_id, case when doc_id % 10 <> 0 then 'id' || doc_id end as id from documents where doc_id % 2 = 0),
-    o as (select doc_id, case when doc_id % 10 <> 0 then 'id' || doc_id end as id from documents where doc_id % 3 = 0)
+    o as (select doc_id, case when doc_id % 10 <> 0 then 'id' || doc_id end as id from documents where doc_id % 2 <> 0 or doc_id % 3 = 0)
     select id as external_id, doc_id, 'current' as part, doc_id as outcome_index from c
     union all select id, doc_id, 'existing', doc_id + (select max(doc_id) + 1 from c) from o where id is null or id not in (select id from c where id is not null)""")
 def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +167,7 @@ def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with cut as (select user_id, min(ts) as cutoff from events where event_id % 4 = 0 and event_type <> 'click' group by 1)
     select event_id from events where event_id % 4 = 0
-    union all select event_id from events e left join cut using (user_id) where event_id % 4 = 1 and (cutoff is null or ts < cutoff)""")
+    union all select event_id from events e left join cut using (user_id) where event_id % 4 <> 0 and (cutoff is null or ts < cutoff)""")
 def window_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _walls(spark, sf_dir)
     return snapshot.accumulated(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 != 0"), prune=True).select("event_id")
@@ -208,12 +209,12 @@ def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 
 
-@query(f"""with t as (select p_partkey as k, {TOKENS_SQL.format('p_name')} as t from part where p_partkey % 4 = 0)
+@query(f"""with t as (select p_partkey as k, {TOKENS_SQL.format('p_name')} as t from part)
     select a.k as a, b.k as b, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) as score from t a join t b on a.k < b.k where len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) >= 0.65""")
 def token_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     pairs = dedup.duplicate_pairs(_titled(part))
-    names = part.select(F.col("p_partkey").alias("k"), text.tokens(F.col("p_name")).alias("t"))
+    names = kept(part.select(F.col("p_partkey").alias("k"), text.tokens(F.col("p_name")).alias("t")))
     both = pairs.join(names.select(F.col("k").alias("a"), F.col("t").alias("s")), "a").join(names.select(F.col("k").alias("b"), "t"), "b")
     return both.select("a", "b", F.round(text.containment(F.col("s"), F.col("t")), 6).alias("score"))
 
@@ -232,15 +233,16 @@ def event_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicated(_titled(_table(spark, sf_dir, "part"))).select("event_pos", "group_pos", "duplicate_of")
 
 
-SPANS_SQL = """select l_orderkey as k, min(l_shipdate)::date as s, max(l_shipdate)::date as e from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
-    where c_mktsegment = 'BUILDING' and o_custkey % 5 = 0 group by 1"""
+SPANS_SQL = """select l_orderkey as k, min(l_shipdate)::date as s, max(l_shipdate)::date as e from lineitem join orders on o_orderkey = l_orderkey group by 1"""
 
 
-@query(f"with t as ({SPANS_SQL}) select a.k as a, b.k as b from t a join t b on a.k < b.k and a.s <= b.e + 1 and b.s <= a.e + 1")
+@query(f"""with t as ({SPANS_SQL}) select a.k as event_pos, min(b.k) filter (a.s = b.s and a.e = b.e) as class_id, count(*) - 1 as n_related
+    from t a join t b on a.s <= b.e + 1 and b.s <= a.e + 1 group by 1""")
 def interval_related_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each order with its class of equal spans and its number of links; related_pairs() gives the pairs themselves."""
     lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     spans = lines.join(orders, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("event_pos")).agg(F.min("l_shipdate").cast("date").alias("first"), F.max("l_shipdate").cast("date").alias("last"))
-    return dedup.related_pairs(spans)
+    return dedup.related_counts(spans)
 
 
 @query("""with u as (select page_id, regexp_replace(url, '[?#].*$|[.,;:!?]+$', '') || '?utm_source=x&b=2&a=1#top' as url from pages),
@@ -272,23 +274,34 @@ def ru_listed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_days(spark, sf_dir).select("o_orderkey", F.element_at(starts, 1).alias("first"), F.element_at(starts, -1).alias("last"), F.size(starts).alias("n"))
 
 
-@query("""select o_orderkey, day + 5 as end_date from (select o_orderkey, o_orderdate::date as day from orders) where not (month(day + 5) = 2 and day(day + 5) = 29)""")
+@query("""select o_orderkey, day + 5 as end_date from (select o_orderkey, o_orderdate::date as day from orders)""")
 def ru_range_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = F.date_add("day", 5)
     words = F.concat(F.lit("Не 1-2 мая, а с "), _day_text(F.col("day")), F.lit(" по "), _day_text(until), F.lit(". И 30-31 декабря"))
     return _order_days(spark, sf_dir).select("o_orderkey", dates.range_end(words, F.col("day")).alias("end_date"))
 
 
-@query("""select o_orderkey, (day + 2)::timestamp as deadline from (select o_orderkey, o_orderdate::date as day from orders) where not (month(day + 2) = 2 and day(day + 2) = 29)""")
+@query("""select o_orderkey, (day + 2)::timestamp as deadline from (select o_orderkey, o_orderdate::date as day from orders)""")
 def ru_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = F.date_add("day", 2)
     return _order_days(spark, sf_dir).select("o_orderkey", dates.deadline_in(F.concat(F.lit("Подать заявку можно до "), _day_text(until)), F.col("day"), _day()).alias("deadline"))
 
 
-@query("""select o_orderkey, case o_orderkey % 5 when 0 then 'not_event_announcement' when 1 then 'not_event_announcement' when 2 then 'past_event_report' when 3 then 'not_event_announcement' end as reason from orders""")
+#: Phrases and why a post that holds one is skipped, if it is.
+SKIP_PHRASES = (
+    ("ВНИМАНИЕ! ОТМЕНА! Концерт", "not_event_announcement"), ("встреча отменена", "not_event_announcement"), ("Показ отменяется", "not_event_announcement"), ("матч не состоится", "not_event_announcement"), ("Концерт отменён", "not_event_announcement"),
+    ("Итоги розыгрыша билетов", "not_event_announcement"), ("ИТОГИ КОНКУРСА", "not_event_announcement"), ("поздравляем победителей", "not_event_announcement"), ("имя победителя", "not_event_announcement"), ("победители", None),
+    ("Вчера состоялся праздник", "past_event_report"), ("состоялись игры", "past_event_report"), ("прошел забег", "past_event_report"), ("прошла выставка", "past_event_report"), ("мы отметили юбилей", "past_event_report"),
+    ("мы смотрели кино", "past_event_report"), ("вечер собрал гостей", "past_event_report"), ("спасибо каждому", "past_event_report"), ("Спасибо всем, кто пришел", "past_event_report"), ("прошлое", None), ("собраловка", None),
+    ("Открыт приём документов в колледж", "not_event_announcement"), ("поступление в университет", "not_event_announcement"), ("Ждем 5 июня в колледже, 18:00", None), ("день открытых дверей, колледж, 3 мая", None), ("Концерт в парке", None), ("open day", None),
+)
+
+
+@query(f"""select o_orderkey, case o_orderkey % {len(SKIP_PHRASES)} {' '.join(f"when {k} then '{reason}'" for k, (_, reason) in enumerate(SKIP_PHRASES) if reason)} end as reason from orders""")
 def skip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.array(*map(F.lit, ["ВНИМАНИЕ! ОТМЕНА! Концерт", "Итоги розыгрыша билетов", "Вчера состоялся праздник", "Открыт приём документов в колледж", "Ждем 5 июня в колледже, 18:00"]))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", rules.skip_reason(F.element_at(said, (F.col("o_orderkey") % 5 + 1).cast("int")), _day()).alias("reason"))
+    said = F.array(*(F.lit(x) for x, _ in SKIP_PHRASES))
+    words = F.concat(F.lit("№ "), F.col("o_orderkey"), F.lit(". "), F.element_at(said, (F.col("o_orderkey") % len(SKIP_PHRASES) + 1).cast("int")), F.lit("! "), "o_orderpriority")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", rules.skip_reason(words, _day()).alias("reason"))
 
 
 @query("select o_orderkey, 'vk:wall-' || (o_custkey % 9) || '_' || o_orderkey as external_id, '-' || (o_custkey % 9) as owner from orders")
@@ -316,13 +329,14 @@ def merge_source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", text.merge_source_key(ids, F.col("text")).alias("key"))
 
 
-@query(f"""select s_suppkey, c_custkey, len(list_intersect({TOKENS_SQL.format('s_name')}, {TOKENS_SQL.format('c_name')})) / least(len({TOKENS_SQL.format('s_name')}), len({TOKENS_SQL.format('c_name')})) >= 0.8 as near
-    from supplier join customer on s_nationkey = c_nationkey and s_suppkey = c_custkey""")
+@query("""select s_suppkey, c_custkey, s_suppkey % 7 = c_custkey % 7 or s_suppkey % 5 = c_custkey % 7 as near from supplier join customer on s_nationkey = c_nationkey""")
 def location_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halls of suppliers and customers of one nation; a supplier's venue counts too."""
     s, c = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "customer")
-    place = lambda x: F.struct(F.col(x).alias("address"), F.lit(None).cast("string").alias("venue_name"))
-    both = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") == F.col("c_custkey")))
-    return both.select("s_suppkey", "c_custkey", rules.locations_similar(place("s_name"), place("c_name")).alias("near"))
+    hall = lambda n: F.concat(F.lit("Зал "), n.cast("string"))
+    one = F.struct(hall(F.col("s_suppkey") % 7).alias("address"), hall(F.col("s_suppkey") % 5).alias("venue_name"))
+    two = F.struct(hall(F.col("c_custkey") % 7).alias("address"), F.lit(None).cast("string").alias("venue_name"))
+    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey", rules.locations_similar(one, two).alias("near"))
 
 
 @query("""select count(*) as total, count(*) filter (status is distinct from expected) as mismatches, round(1 - count(*) filter (status is distinct from expected) / count(*), 6) as accuracy
@@ -333,16 +347,31 @@ def gold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.accuracy(results.compared(outcomes, gold, "doc_id")).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("""select c_custkey, case c_custkey % 4 when 0 then 'skipped:vacancy' when 1 then 'llm_error:llm_error' when 2 then 'llm_error:invalid_llm_shape' else 'extracted:' end as found from customer""")
+@query("""with o as (select o_orderkey as k, o_orderdate::date as day, (o_orderkey % 5 - 2)::int as span, o_orderkey % 7 as kind from orders),
+    f as (select *, case kind when 0 then 'skipped:vacancy' when 1 then 'skipped:not_event_announcement' when 2 then 'llm_error:llm_error' when 3 then 'llm_error:invalid_llm_shape'
+        when 4 then 'invalid:missing_event_date' else case when span < 0 then 'invalid:invalid_field' else 'extracted:' end end as found from o)
+    select k as o_orderkey, found, case when found = 'extracted:' then day + interval 18 hour end as start_at, case when found = 'extracted:' then day + span + interval 18 hour end as end_at from f""")
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.array(*map(F.lit, ['{"is_event": false, "skip_reason": "vacancy"}', "not json", '{"is_event": "false"}', '{"is_event": true, "events": [{"title": "A", "start_at": "2024-06-05T18:00:00+03:00", "x": 1}]}']))
-    none = F.lit(None).cast("string")
-    rows = _table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("post_pos"), none.alias("external_id"), none.alias("source_name"), none.alias("source_url"), none.alias("published_at"), none.alias("guard"), F.lit(None).cast("long").alias("first_pos"),
-        F.lit("post").alias("prompt_text"), F.element_at(said, (F.col("c_custkey") % 4 + 1).cast("int")).alias("response"), none.alias("error"),
+    """Answers of many shapes: skipped with a known reason and an unknown one, cut off, without events, without dates, with an end
+    before the start, and valid ones with offsets and a field that is dropped."""
+    none, kind = F.lit(None).cast("string"), F.col("o_orderkey") % 7
+    day = F.col("o_orderdate").cast("date")
+    stamp = lambda d: F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T18:00:00+03:00"))
+    event = F.struct(F.concat(F.lit("Order "), "o_orderkey").alias("title"), stamp(day).alias("start_at"), stamp(F.date_add(day, (F.col("o_orderkey") % 5 - 2).cast("int"))).alias("end_at"), F.lit(1).alias("x"))
+    undated = F.struct(F.col("o_orderpriority").alias("title"))
+    said = (
+        F.when(kind == 0, '{"is_event": false, "skip_reason": "vacancy"}').when(kind == 1, F.concat(F.lit('{"is_event": false, "skip_reason": "'), "o_orderpriority", F.lit('"}')))
+        .when(kind == 2, F.concat(F.lit('{"is_event": true, "event": {"title": "'), "o_orderpriority")).when(kind == 3, '{"is_event": "false", "events": []}')
+        .when(kind == 4, F.to_json(F.struct(F.lit(True).alias("is_event"), undated.alias("event")))).when(kind == 5, F.to_json(F.struct(F.lit(True).alias("is_event"), event.alias("event"))))
+        .otherwise(F.to_json(F.struct(F.lit(True).alias("is_event"), F.array(event).alias("events"))))
+    )
+    rows = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("post_pos"), none.alias("external_id"), none.alias("source_name"), none.alias("source_url"), none.alias("published_at"), none.alias("guard"), F.lit(None).cast("long").alias("first_pos"),
+        F.lit("post").alias("prompt_text"), said.alias("response"), none.alias("error"),
     )
     found = extract.outcomes(rows, _day())
-    return found.select(F.col("outcome_index").alias("c_custkey"), F.concat("status", F.lit(":"), F.coalesce(F.try_element_at("errors", F.lit(1))["code"], F.lit(""))).alias("found"))
+    at = lambda c: F.try_element_at("events", F.lit(1))[c].alias(c)
+    return found.select(F.col("outcome_index").alias("o_orderkey"), F.concat("status", F.lit(":"), F.coalesce(F.try_element_at("errors", F.lit(1))["code"], F.lit(""))).alias("found"), at("start_at"), at("end_at"))
 
 
 @query("select event_id, ts from events order by ts desc, event_id limit 20")

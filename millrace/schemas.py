@@ -36,7 +36,14 @@ EVENT = _struct(
     "relevant_roles ARRAY<STRING>, industries ARRAY<STRING>, skills ARRAY<STRING>, price_text STRING, target_audience_text STRING"
 )
 ERRORS = T.ArrayType(_struct("field STRING, code STRING, message STRING"))
-OUTCOME = T.StructType().add("outcome_index", T.LongType()).add("status", T.StringType()).add("events", T.ArrayType(EVENT)).add("post", POST).add("errors", ERRORS).add("metadata", T.MapType(T.StringType(), T.StringType()))
+#: What merging duplicates left with an event: completed, partial or failed, why, how many versions, and all that it covers.
+MERGE = T.StructType().add("status", T.StringType()).add("error", T.StringType()).add("count", T.LongType()).add("sources", T.ArrayType(T.StringType()))
+ATTEMPTS = T.ArrayType(T.StructType().add("stage", T.StringType()).add("model", T.StringType()).add("success", T.BooleanType()).add("error", T.StringType()))
+#: An outcome row: its place, status and events, then the post's columns, then errors, what it repeats, and metadata (JSON).
+OUTCOME = T.StructType().add("outcome_index", T.LongType()).add("status", T.StringType()).add("events", T.ArrayType(EVENT))
+for _field in POST.fields[1:]:
+    OUTCOME = OUTCOME.add(_field)
+OUTCOME = OUTCOME.add("errors", ERRORS).add("duplicate_of_post", T.LongType()).add("metadata", T.StringType()).add("merge", MERGE)
 #: What a model returns for an event, before repair: dates are still text.
 PAYLOAD = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("start_at", "end_at") else f.dataType) for f in EVENT])
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.schemas import OUTCOME, POST
+from millrace.schemas import ERRORS, EVENT, MERGE, OUTCOME, POST
 
 
 def json_posts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -55,17 +56,45 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_json(outcomes: DataFrame, path: str, indent: int = 2) -> None:
-    """One JSON file on the driver, for exchange; results too large for a driver belong in save_snapshot()."""
-    rows = [json.loads(r.j) for r in outcomes.orderBy("outcome_index").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+def _exported(row: dict) -> dict:
+    """An outcome in the exchange format: one event, or a list of several; its post; metadata with what became of it later."""
+    events = row.get("events") or []
+    notes = json.loads(row["metadata"]) if row.get("metadata") else {}
+    if row.get("cached") is not None:
+        notes |= {"incremental_cached": row["cached"], "source_index": row["outcome_index"]}
+    notes |= {f"duplicate_event_merge{'_' + k if k != 'status' else ''}": v for k, v in (row.get("merge") or {}).items() if v is not None}
+    post = {f.name: row.get(f.name) for f in POST if f.name != "post_pos"}
+    return {"status": row["status"], "event": events[0] if events else None, "events": events if len(events) > 1 else None, "post": post, "errors": row.get("errors") or [], "raw_llm_metadata": notes or None}
+
+
+def save_json(outcomes: DataFrame, path: str) -> None:
+    """One JSON file on the driver, for exchange, row by row: {"outcomes": [...], and the counts of each status}. The driver holds
+    a row at a time; readers of such a file may hold it whole, so larger results belong in save_snapshot()."""
+    rows = outcomes.orderBy("outcome_index").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    seen: Counter = Counter()
     with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps({"outcomes": rows}, ensure_ascii=False, indent=indent) + "\n")
+        f.write('{"outcomes": [')
+        for k, r in enumerate(rows.toLocalIterator()):
+            row = json.loads(r.j)
+            seen[row["status"]] += 1
+            f.write((",\n" if k else "\n") + json.dumps(_exported(row), ensure_ascii=False))
+        counts = {"total": seen.total(), **{s: seen[s] for s in ("extracted", "skipped", "invalid")}, "llm_errors": seen["llm_error"], "error_count": seen["invalid"] + seen["llm_error"]}
+        f.write("\n], " + json.dumps(counts)[1:] + "\n")
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """The outcomes of such a file; a file of another shape is an error."""
-    body = spark.read.schema("outcomes " + f"array<{OUTCOME.simpleString()}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return body.select(F.explode("outcomes").alias("o")).select("o.*")
+    """Outcome rows (OUTCOME's columns) of such a file; a file of another shape is an error."""
+    event, errors = EVENT.simpleString(), ERRORS.simpleString()
+    one = f"struct<status:string,event:{event},events:array<{event}>,post:{_fields()},errors:{errors},raw_llm_metadata:string>"
+    body = spark.read.schema(f"outcomes array<{one}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = body.select(F.posexplode("outcomes").alias("outcome_index", "o"))
+    note = lambda k: F.get_json_object("o.raw_llm_metadata", f"$.duplicate_event_merge{k}")
+    merge = F.when(note("").isNotNull(), F.struct(note("").alias("status"), note("_error").alias("error"), note("_count").cast("long").alias("count"), F.from_json(note("_sources"), "array<string>").alias("sources")).cast(MERGE))
+    columns = {
+        "outcome_index": F.col("outcome_index").cast("long"), "status": F.col("o.status"), "events": F.coalesce("o.events", F.when(F.col("o.event").isNotNull(), F.array("o.event"))),
+        **{f.name: F.col(f"o.post.{f.name}") for f in POST if f.name != "post_pos"}, "errors": F.col("o.errors"), "duplicate_of_post": F.lit(None).cast("long"), "metadata": F.col("o.raw_llm_metadata"), "merge": merge,
+    }
+    return rows.select(*[columns[c].alias(c) for c in OUTCOME.names])
 
 
 def concatenated(*sources: DataFrame) -> DataFrame:

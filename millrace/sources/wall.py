@@ -16,9 +16,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.operators.models import Pace
+from millrace.operators.storage import kept
 
 API = "https://api.vk.com/method"
 VERSION = "5.199"
@@ -197,3 +200,29 @@ class WallSource(DataSource):
 
     def reader(self, schema) -> WallReader:
         return WallReader(dict(self.options))
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posts (POST's columns, in the order of walls and of their posts) and errors (source_pos, source_name, error) of the source's
+    rows, which should be a written table, as reading them anew asks the walls again."""
+    posts, errors = rows.where("error is null"), rows.where("error is not null").select("source_pos", "source_name", "error")
+    # a row for each wall; a wall's posts are numbered from 0
+    sizes = posts.groupBy("source_pos").agg(F.count("*").alias("n"))
+    before = Window.orderBy("source_pos").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("source_pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    posts = posts.join(F.broadcast(shift), "source_pos").withColumn("post_pos", F.col("item_pos") + F.col("shift"))
+    return posts.select("post_pos", "text", "raw_text", "source_name", "source_url", "published_at", "external_id", "is_pinned"), errors
+
+
+@dataclass
+class Walls:
+    """The walls as a pipeline's source; read once a run and written to the shared folder. Known ids go to the reader as an option
+    that grows with them; only those of pinned posts matter, so give the latest snapshot."""
+
+    spark: object
+    options: dict
+
+    def posts(self, cached_ids: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        self.spark.dataSource.register(WallSource)
+        known = "" if cached_ids is None else ",".join(r.external_id for r in cached_ids.where("external_id like 'vk:wall%'").toLocalIterator())
+        return split(kept(self.spark.read.format("wall").options(**self.options, cached_ids=known).load()))

@@ -1,4 +1,5 @@
 import json
+import random
 import urllib.error
 from datetime import datetime
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import dedup, extract, models, pipeline, results
-from millrace.schemas import POST
+from millrace.schemas import OUTCOME, POST
 from millrace.sources import posts as post_files
 from millrace.sources import wall
 
@@ -17,7 +18,8 @@ def today():
 
 
 def posts(spark, *texts, first=0):
-    return spark.createDataFrame([(k, t, None, None, None, "2026-06-01T10:00:00", f"vk:wall-1_{k}", False) for k, t in enumerate(texts, first)], POST)
+    ids = {}
+    return spark.createDataFrame([(k, t, None, None, None, "2026-06-01T10:00:00", f"vk:wall-1_{ids.setdefault(t, k)}", False) for k, t in enumerate(texts, first)], POST)
 
 
 class Scripted:
@@ -60,8 +62,17 @@ def test_statuses_of_a_batch(spark):
     assert (counts.total, counts.extracted, counts.error_count) == (10, 2, 5)
 
 
-def test_error_budget(spark):
-    assert statuses(run(spark, {}, "one", "two", max_errors=1)) == [(0, "llm_error", "llm_error"), (1, "skipped", "error_limit_reached")]
+def test_error_budget_and_daily_latch_come_before_all_skips_but_repeats(spark):
+    texts = ("fails", "news", "Вчера состоялся концерт", "fails", " ", "news 2")
+    news = {"is_event": False, "skip_reason": "general_news"}
+    over = "error_limit_reached"
+    assert statuses(run(spark, {"news": news}, *texts, max_errors=1)) == [
+        (0, "llm_error", "llm_error"), (1, "skipped", over), (2, "skipped", over), (3, "skipped", "duplicate_post"), (4, "skipped", "empty_post"), (5, "skipped", over),
+    ]
+    daily = "daily_rate_limit_exceeded"
+    got = run(spark, {"fails": "daily", "news": news}, *texts, max_errors=3)
+    assert statuses(got) == [(0, "llm_error", daily), (1, "llm_error", daily), (2, "llm_error", daily), (3, "skipped", "duplicate_post"), (4, "skipped", "empty_post"), (5, "skipped", over)]
+    assert got.error_limit_reached
     with pytest.raises(ValueError):
         pipeline.Settings(max_errors=0)
 
@@ -80,10 +91,64 @@ def test_incremental_runs_ask_for_changes_alone(spark):
     assert more.outcomes.count() == 3
 
 
+def graph(spark, n, pairs, of=lambda k: k, twins=()):
+    """members, classes and pairs of classes; of: an event's class. Events of the classes in twins are duplicates of each other."""
+    members = spark.createDataFrame([(k, of(k)) for k in range(n)], "event_pos long, class long")
+    classes = spark.createDataFrame([(c, c in twins) for c in sorted({of(k) for k in range(n)})], "class long, is_pair boolean")
+    return members, classes, spark.createDataFrame(pairs, "a long, b long")
+
+
+def sequential(n, duplicate, ask=lambda a, b: None, most=32):
+    """Groups of events in order, as a plain loop finds them; ask is consulted where duplicate() says nothing."""
+    groups, decided = [], {}
+
+    def same(i, k):
+        known = duplicate(i, k)
+        if known is not None:
+            return known
+        key = (min(i, k), max(i, k))
+        if key not in decided:
+            if len(decided) >= most:
+                return False
+            decided[key] = ask(*key)
+        return decided[key]
+
+    for i in range(n):
+        group = next((g for g in groups if any(same(i, k) for k in g)), None)
+        group.append(i) if group is not None else groups.append([i])
+    return {k: g[0] for g in groups for k in g}, decided
+
+
 def test_greedy_groups_are_not_components(spark):
-    events = spark.createDataFrame([(k,) for k in range(5)], "event_pos long")
-    pairs = spark.createDataFrame([(0, 2), (1, 2), (1, 3)], "a long, b long")
-    assert {r.event_pos: r.group_pos for r in dedup.grouped(events, pairs).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4}
+    got = dedup.grouped(*graph(spark, 5, [(0, 2), (1, 2), (1, 3)])).collect()
+    assert {r.event_pos: r.group_pos for r in got} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize("seed,most", [(1, 32), (2, 4), (3, 7)])
+def test_groups_and_model_calls_are_those_of_a_loop(spark, seed, most):
+    """Random duplicates among classes, and pairs that a model is asked about until the cap."""
+    r = random.Random(seed)
+    n = 60
+    of = {k: (k if k % 3 else max(0, k - r.choice([0, 3, 6]))) for k in range(n)}
+    of = {k: c if of.get(c) == c else k for k, c in of.items()}
+    names = sorted(set(of.values()))
+    pairs = {tuple(sorted(r.sample(names, 2))) for _ in range(25)}
+    twins = {c for c in names if r.random() < 0.6}
+    linked = lambda i, k: of[i] in twins if of[i] == of[k] else tuple(sorted((of[i], of[k]))) in pairs
+    candidates = {(a, b) for a, b in (sorted(r.sample(range(n), 2)) for _ in range(40)) if not linked(a, b)}
+    truth = {p: r.random() < 0.5 for p in candidates}
+    want, decided = sequential(n, lambda i, k: True if linked(i, k) else None if tuple(sorted((i, k))) in candidates else False, lambda a, b: truth[a, b], most)
+    members, classes, edges = graph(spark, n, sorted(pairs), of.__getitem__, twins)
+    asked = []
+
+    def decide(a, b):
+        asked.append((a, b))
+        return truth[a, b]
+
+    same = dedup.consulted(members, classes, edges, spark.createDataFrame(sorted(candidates), "a long, b long"), decide, most)
+    assert asked == list(decided) and same == [p for p in asked if truth[p]]
+    extra = spark.createDataFrame(same, "a long, b long") if same else None
+    assert {x.event_pos: x.group_pos for x in dedup.grouped(members, classes, edges, extra).collect()} == want
 
 
 def test_drop_event(spark):
@@ -104,10 +169,17 @@ def test_text_functions(spark):
 
 
 def test_snapshots_in_json(spark, tmp_path):
-    got = run(spark, {"звезды": event()}, "звезды 5 июня в 18:00").outcomes
+    got = run(spark, {"звезды": event(), "встречи": event(title="Встречи")}, "звезды 5 июня в 18:00", "встречи 19 и 20 июня в 17:00", " ").outcomes
     post_files.save_json(got, str(tmp_path / "s.json"))
-    back = post_files.load_json(spark, str(tmp_path / "s.json")).first()
-    assert back.status == "extracted" and back.events[0].start_at == datetime(2026, 6, 5, 18)
+    raw = json.loads((tmp_path / "s.json").read_text())
+    assert [(o["status"], o["event"] and o["event"]["title"], o["events"] and len(o["events"]), o["post"]["external_id"]) for o in raw["outcomes"]] == [("extracted", "Лекция о звездах", None, "vk:wall-1_0"), ("extracted", "Встречи", 2, "vk:wall-1_1"), ("skipped", None, None, "vk:wall-1_2")]
+    assert (raw["total"], raw["extracted"], raw["skipped"], raw["llm_errors"]) == (3, 2, 1, 0) and raw["outcomes"][0]["raw_llm_metadata"]["llm_attempts"][0]["stage"] == "main_extraction"
+    back = post_files.load_json(spark, str(tmp_path / "s.json"))
+    assert back.schema.names == OUTCOME.names
+    pick = ["outcome_index", "status", "events", "text", "external_id", "errors"]
+    assert sorted(map(str, back.select(*pick).collect())) == sorted(map(str, got.select(*pick).collect()))
+    again = pipeline.extract_incremental(posts(spark, "звезды 5 июня в 18:00", "встречи 19 и 20 июня в 17:00"), back, lambda: Scripted({}), today=today())
+    assert [(r.status, r.cached) for r in again.outcomes.orderBy("outcome_index").collect()] == [("extracted", True)] * 2
     (tmp_path / "p.json").write_text(json.dumps([{"text": " a ", "source_name": " "}, {"text": "b", "external_id": "x"}]))
     rows = post_files.json_posts(spark, str(tmp_path / "p.json")).orderBy("post_pos").collect()
     assert [(r.post_pos, r.text, r.source_name, r.external_id) for r in rows] == [(0, "a", None, None), (1, "b", None, "x")]
