@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import kept, small, with_columns
 
 K = 64
-#: Documents whose ids share a multiple of this are dealt together; a power of two.
-RUN = 1024
+#: Documents dealt together, about; cells of more than CROWDED of them are split.
+RUN, CROWDED = 1024, 8192
+#: Splits of crowded cells; what is crowded then agrees in id and in the first seven bytes.
+LEVELS = 6
 SPACE_SIGNS = " \t\n\x0b\f\r"
 
 
@@ -75,28 +77,64 @@ def signs(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+def _cells(keys: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """How rows of _key and _tie (order-preserving numbers) are dealt to cells in order: tables of splits, and the cells by path
+    (_c0, _c1, …) with their first _key and _tie.
+
+    The first cells are equal spans of ids, as many as rows ask for; crowded ones are split by spans of their own, by id or, where
+    all ids are one, by the tie. So sparse, clustered, null and repeated ids make cells of about RUN rows alike.
+    """
+    n, low, high = keys.agg(F.count("*"), F.min("_key"), F.max("_key")).first()
+    shift = max(0, ((high - low) * RUN // n).bit_length() - 1) if n else 0
+    rows, path, splits = keys.withColumn("_c0", F.shiftright("_key", shift)), ["_c0"], [shift]
+    for level in range(1, LEVELS + 1):
+        ends = rows.groupBy(*path).agg(F.count("*").alias("n"), F.min("_key").alias("a"), F.max("_key").alias("b"), F.min("_tie").alias("x"), F.max("_tie").alias("y"))
+        crowded = ends.where((F.col("n") > CROWDED) & ((F.col("a") < F.col("b")) | (F.col("x") < F.col("y"))))
+        by_key = F.col("a") < F.col("b")
+        width = F.when(by_key, F.col("b").cast("double") - F.col("a").cast("double")).otherwise(F.col("y").cast("double") - F.col("x").cast("double")) * RUN / F.col("n")
+        table = kept(crowded.select(*path, by_key.alias("by_key"), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(width, F.lit(1.0))))).cast("int").alias("shift")), "splits")
+        if table.isEmpty():
+            break
+        splits.append(table)
+        rows = _split(rows, table, path, level)
+        path = [*path, f"_c{level}"]
+    return splits, kept(rows.groupBy(*path).agg(F.min(F.struct("_key", "_tie")).alias("first")), "cells")
+
+
+def _split(df: DataFrame, table: DataFrame, path: list[str], level: int) -> DataFrame:
+    table = table.select(*[F.col(c).alias(f"_s{c}") for c in path], "by_key", "shift")
+    on = F.lit(True)
+    for c in path:
+        on = on & F.col(c).eqNullSafe(F.col(f"_s{c}"))
+    return df.join(small(table), on, "left").withColumn(f"_c{level}", F.expr("shiftright(if(by_key, _key, _tie), shift)")).drop(*[f"_s{c}" for c in path], "by_key", "shift")
+
+
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with next_<column> of the row that follows by doc_id (ties by text), the first row following the last.
 
-    Rows are dealt by runs of ids and ordered within these, so that no task sees all rows. A run's last row looks ahead to the
-    first row of the next run that isn't empty, which is delivered to the run before as well. Which these are comes from ids alone.
-    Null ids come first, as the least number.
+    Rows are dealt to cells of neighbouring ids (see _cells) and ordered within these, so that no task sees all rows. A cell's last
+    row looks ahead to the first row of the next cell, which is delivered to the cell before as well. Which these are comes from
+    numbers alone; cells are a thousandth of the rows, and a row of numbers each, so one task orders them. Null ids come first, as
+    the least number.
     """
-    df = df.withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_run", F.shiftright("_key", RUN.bit_length() - 1))
-    runs = df.groupBy("_run").agg(F.min("_key").alias("_first")).withColumn("_span", F.shiftright("_run", 12))
-    within = Window.partitionBy("_span").orderBy("_run")
-    runs = kept(runs.withColumn("_to", F.lag("_run").over(within)), "runs")
-    # a span covers 4096 runs: spans are so few that one task can order them
-    spans = runs.groupBy("_span").agg(F.max("_run").alias("_last"))
-    along = Window.orderBy("_span")
-    ends = spans.select("_span", F.coalesce(F.lag("_last").over(along), F.max("_last").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
-    firsts = runs.join(ends, "_span").select(F.col("_first").alias("_key"), F.coalesce("_to", "_before").alias("_to"))
-    joined = df.join(small(firsts), "_key", "left")
-    dealt = F.array_compact(F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("ahead")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("run"), F.lit(True).alias("ahead")))))
+    tie = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    df = df.withColumns({"_key": F.coalesce("doc_id", F.lit(-(2**63))), "_tie": F.coalesce(tie, F.lit(0))})
+    splits, cells = _cells(df.select("_key", "_tie"))
+    path = [f"_c{k}" for k in range(len(splits))]
+    df = df.withColumn("_c0", F.shiftright("_key", splits[0]))
+    for k, table in enumerate(splits[1:], 1):
+        df = _split(df, table, path[:k], k)
+    along = Window.orderBy("first._key", "first._tie")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(*path)
+    before = kept(cells.select("first", F.coalesce(F.lag(own).over(along), F.last(own).over(whole)).alias("_before")), "before")
+    firsts = before.select(F.col("first._key").alias("_key"), F.col("first._tie").alias("_tie"), "_before")
+    joined = df.join(small(firsts), ["_key", "_tie"], "left")
+    dealt = F.array_compact(F.array(F.struct(own.alias("cell"), F.lit(False).alias("ahead")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("cell"), F.lit(True).alias("ahead")))))
     dealt = joined.withColumn("_deal", F.explode(dealt))
-    order = Window.partitionBy("_deal.run").orderBy("_deal.ahead", "_key", "text")
+    order = Window.partitionBy("_deal.cell").orderBy("_deal.ahead", "_key", "text")
     led = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.where("not _deal.ahead").drop("_key", "_run", "_to", "_deal")
+    return led.where("not _deal.ahead").drop("_key", "_tie", "_before", "_deal", *path)
 
 
 def compared(docs: DataFrame, k: int = K) -> DataFrame:

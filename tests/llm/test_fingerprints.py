@@ -54,6 +54,21 @@ def test_equal_to_brute_force(spark):
     check(spark, rows + [(3, "twice"), (3, "twice"), (None, "no id"), (7, None), (8, "  lead and trail \n")])
 
 
+def test_sparse_clustered_null_and_repeated_ids(spark, monkeypatch):
+    """Cells of a few rows, so that every way of splitting them is taken."""
+    monkeypatch.setattr(fp, "RUN", 4)
+    monkeypatch.setattr(fp, "CROWDED", 8)
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) for _ in range(r.choice([1, 4, 12])))
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(60)] + list(range(500, 560)) + [None] * 60 + [7] * 40
+    check(spark, [(i, text()) for i in ids] + [(9, "same text")] * 30)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(3)
+    check(spark, [(k, " ".join(r.choice("abcdef") * r.randint(1, 6) for _ in range(40_000))) for k in range(3)] + [(9, "word " * 60_000), (10, "x" * 300_000)])
+
+
 def test_one_row_follows_itself(spark):
     check(spark, [(5, "one two three four five six seven eight")])
 
