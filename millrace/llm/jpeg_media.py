@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, texts_of, with_columns
 
@@ -416,25 +417,71 @@ def payload_of(image: Image) -> bytes:
     return (image.planes[0].reshape(-1)[:n] + 128).astype(np.uint8).tobytes()
 
 
-def media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height.
-
-    feature: the image's size, the thumbnail's average hash and its crc32. There is no shuffle; memory is bounded by a few
-    megabytes of texts, or by one text.
-    """
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text) and media: each text as a JPEG file, padded to a positive multiple of 64 bytes."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024, most=1 << 20):
             texts = [t.encode("utf-8", "surrogatepass") for t in texts_of(batch)]
             files = encode([t + bytes(-len(t) % 64 if t else 64) for t in texts])
-            rows = []
-            for text, file, image in zip(texts, files, decode(files), strict=True):
-                payload, thumb = payload_of(image), image.thumbnail()
-                feature = f"{image.width}x{image.height}:{average_hash(thumb)}:{zlib.crc32(thumb.tobytes()):08x}"
-                rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, image.width, image.height))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
-    return with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(store, schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+
+
+def _images(files: list[bytes | None]) -> list[Image | str]:
+    """Each file's image, or why it can't be read. Files are decoded together; where one is broken, all of the batch one by one."""
+    there = [f for f in files if f is not None]
+    try:
+        found: list[Image | str] = list(decode(there)) if there else []
+    except (ValueError, IndexError, KeyError, struct.error):
+        found = []
+        for f in there:
+            try:
+                found += decode([f])
+            except (ValueError, IndexError, KeyError, struct.error) as e:
+                found.append(str(e) or type(e).__name__)
+    left = iter(found)
+    return ["no file" if f is None else next(left) for f in files]
+
+
+def decoded(df: DataFrame, column: str = "media", keep: tuple[str, ...] = (), payload: bool = False) -> DataFrame:
+    """The columns of keep, and of a binary column of JPEG files, from any writer: width, height, thumbnail (its bytes, row by row,
+    a byte for each block of luminance), thumbnail_hash (64 bits as hex), thumbnail_crc32, error.
+
+    A null, broken or progressive file is a row with error and nothing else; it fails no task. payload: also payload_bytes,
+    payload_sha256 and tail_crc32 of what encode() stored.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in keep}
+    columns = {"width": pa.int32(), "height": pa.int32(), "thumbnail": pa.binary(), "thumbnail_hash": pa.string(), "thumbnail_crc32": pa.int64(), "error": pa.string()}
+    columns |= {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64()} if payload else {}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024, column, most=1 << 20):
+            rows: dict[str, list] = {c: [] for c in columns}
+            for image in _images(batch.column(column).to_pylist()):
+                good = not isinstance(image, str)
+                thumb = image.thumbnail() if good else None
+                values = [image.width, image.height, thumb.tobytes(), average_hash(thumb), zlib.crc32(thumb.tobytes()), None] if good else [None] * 5 + [image]
+                if payload:
+                    raw = payload_of(image) if good and any(c.startswith(b"payload ") for c in image.comments) else None
+                    values += [len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:])] if raw is not None else [None] * 3
+                for c, v in zip(columns, values, strict=True):
+                    rows[c].append(v)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *(pa.array(rows[c], k) for c, k in columns.items())], [*keep, *columns])
+
+    names = {"int32": "int", "int64": "long", "binary": "binary", "string": "string"}
+    schema = ", ".join([f"`{c}` {k}" for c, k in kinds.items()] + [f"{c} {names[str(k)]}" for c, k in columns.items()])
+    return df.select(*keep, column).mapInArrow(read, schema)
+
+
+def media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height.
+
+    Texts are stored as a column of files, which decoded() reads back. feature: the image's size, the thumbnail's average hash and
+    its crc32. There is no shuffle; memory is bounded by a few megabytes of texts, or by one text. An empty table gives no rows.
+    """
+    files = stored(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    found = decoded(files, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"), payload=True)
+    feature = F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(":"), F.col("thumbnail_hash"), F.lit(":"), F.lower(F.lpad(F.hex("thumbnail_crc32"), 8, "0")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height")

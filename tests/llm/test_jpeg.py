@@ -108,3 +108,24 @@ def test_media_of_documents(spark):
     a, b = (r for r in got if r.doc_id in (1, None))
     assert tuple(a)[4:] == tuple(b)[4:] and a.width == a.height == 8
     assert j.media(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_column_of_files(spark, tmp_path):
+    """Files of a written table, some null, broken or none of ours, with columns of clashing names."""
+    good, other = j.encode([bytes(range(64)) * 40]), j.encode([b"a" * 64])[0]
+    files = [good[0], None, b"", b"no image", good[0][:200], other, good[0][:-30]]
+    rows = spark.createDataFrame(list(enumerate(files)), "width long, file binary")
+    rows.write.parquet(str(tmp_path / "files"))
+    got = j.decoded(spark.read.parquet(str(tmp_path / "files")).withColumnRenamed("width", "id"), "file", ("id",)).orderBy("id").collect()
+    image = j.decode(good)[0]
+    assert (got[0].width, got[0].height, bytes(got[0].thumbnail)) == (image.width, image.height, image.thumbnail().tobytes()) and got[0].error is None
+    assert [r.error is None for r in got] == [True, False, False, False, False, True, False] and all(r.width is None for r in got if r.error)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "word é " * 60_000), (2, "x" * 300_000)]
+    got = {r.doc_id: r for r in j.media(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        raw = t.encode()
+        raw += bytes(-len(raw) % 64)
+        assert (got[i].payload_bytes, got[i].payload_sha256) == (len(raw), j.hashlib.sha256(raw).hexdigest())
