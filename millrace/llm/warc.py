@@ -3,8 +3,12 @@
 Headers (page, length, SHA-1 of the payload) are grouped by digest without the payloads. Only digests that occur more than once
 make the table of originals; it is broadcast if its counted size is small, else the pages are shuffled to it by digest, where
 digests that hold a 500th of the rows or more (so at most 500 of them) are salted. Each page then becomes a record with fresh
-headers: a response with its payload, or a revisit that names the original. Archives are gzip members, one a record, in rows of
-bounded size of a table in the shared folder; export() writes them as files. read() parses the archives alone.
+headers: a response with its payload, or a revisit that names the original. Archives are gzip members, one a record after a
+warcinfo record, in rows of bounded size of a table in the shared folder; export() writes each row as a file and files() reads
+such files, of this or another writer that names pages alike. read() parses the archives alone.
+
+A record's id is made of its page and payload digest, so a revisit can name its original's. Rows that agree in both are equal
+records and share an id.
 
 Null html counts as empty. Payloads of fewer than `least` bytes are always responses. Of equal payloads the page with the
 largest id is the response; repeated rows of that page are responses too. Null ids come before all others; if no page of a
@@ -17,10 +21,11 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import kept, slices, small, with_columns
@@ -32,8 +37,15 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ARCHIVES = "archive string, nth int, records int, data binary"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:millrace:page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:millrace:page:{'' if page_id is None else page_id}:{digest}>"
+
+
+def info(date: str, name: str) -> bytes:
+    """The record that an archive starts with."""
+    block = b"software: millrace\r\nformat: WARC file version 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:millrace:archive:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, original: int | None, original_url: str | None, date: str) -> bytes:
@@ -43,7 +55,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, original:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if original is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -52,7 +64,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, original:
         f"Content-Length: {len(block)}",
     ]
     if original is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original)}", f"WARC-Refers-To-Target-URI: {' '.join((original_url or '').split())}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Refers-To-Target-URI: {' '.join((original_url or '').split())}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -96,19 +108,24 @@ def resolved(pages: DataFrame, least: int = 1000) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("original")).alias("original"), F.when(revisit, F.col("original_url")).alias("original_url"))
 
 
-def archives(records: DataFrame, date: str = "2024-01-01T00:00:00Z", level: int = 1) -> DataFrame:
-    """The archives of resolved pages: archive, nth (of its rows), records, data."""
+def archives(records: DataFrame, date: str | None = None, level: int = 1) -> DataFrame:
+    """The archives of resolved pages: archive, nth (of its rows), records, data. date: of all records; now, if there is none."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def packed(raw: bytes) -> bytes:
+        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return packer.compress(raw) + packer.flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, nth, members, size = f"part-{TaskContext.get().partitionId():06d}", 0, [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([nth], pa.int32()), pa.array([len(members)], pa.int32()), pa.array([b"".join(members)], pa.binary())], ["archive", "nth", "records", "data"])
+            data = packed(info(date, f"{name}-{nth:06d}.warc.gz")) + b"".join(members)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([nth], pa.int32()), pa.array([len(members)], pa.int32()), pa.array([data], pa.binary())], ["archive", "nth", "records", "data"])
 
         for batch in slices(batches, 1024, "html"):
             for page_id, url, html, digest, original, original_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                members.append(packer.compress(record(page_id, url or "", html.encode("utf-8", "surrogatepass"), digest, original, original_url, date)) + packer.flush())
+                members.append(packed(record(page_id, url or "", html.encode("utf-8", "surrogatepass"), digest, original, original_url, date)))
                 size += len(members[-1])
                 if size >= ROW_BYTES:
                     yield row()
@@ -123,11 +140,13 @@ def read(archives: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of each record; responses' payloads are checked."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: int(y) if (y := x.rsplit(":", 1)[1][:-1]) else None
+        number = lambda x: int(y) if (y := x.split(":")[3]) else None
         for batch in batches:
             for data in batch.column("data").to_pylist():
                 rows = []
                 for headers, block in parse(data):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     n = int(http.rsplit(b"Content-Length: ", 1)[1])
                     digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:"))
@@ -136,7 +155,8 @@ def read(archives: DataFrame) -> DataFrame:
                         raise ValueError(f"the payload of {headers['warc-record-id']} is damaged")
                     refers = number(headers["warc-refers-to"]) if kind == "revisit" else None
                     rows.append((number(headers["warc-record-id"]), headers["warc-target-uri"], n, digest.hex(), kind, refers))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -161,6 +181,11 @@ def export(archives: DataFrame, folder: str) -> None:
     archives.select("archive", "nth", "data").mapInArrow(save, "files long").agg(F.sum("files")).collect()
 
 
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """The .warc.gz files of a folder as archives for read(); Spark's reader opens them, wherever they are."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.col("path").alias("archive"), F.col("content").alias("data"))
+
+
 def rewritten(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Write the archives to the shared folder and read them back."""
     return read(kept(archives(resolved(pages, least)), "warc"))

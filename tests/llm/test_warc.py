@@ -43,7 +43,17 @@ def test_files(spark, tmp_path):
     made = warc.archives(warc.resolved(pages(spark, ROWS)))
     warc.export(made, f"file://{tmp_path}/out")
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "out").iterdir())
-    assert raw.count(b"WARC/1.1\r\n") == len(ROWS) and raw.count(b"WARC-Type: revisit") == sum(n for k, n in brute(ROWS).items() if k[3] == "revisit")
+    kinds = Counter(k[3] for k in brute(ROWS).elements())
+    assert {k: raw.count(f"WARC-Type: {k}".encode()) for k in kinds} == kinds and raw.count(b"WARC-Type: warcinfo") == len(list(Path(tmp_path, "out").iterdir()))
+    assert Counter(tuple(r) for r in warc.read(warc.files(spark, f"file://{tmp_path}/out")).drop("url").collect()) == brute(ROWS)
+    ids = [line for line in raw.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    # but for the row that is there twice
+    assert len(set(ids)) == len(ids) - 1
+
+
+def test_very_long_pages(spark):
+    rows = [(1, "u", "é" * 400_000), (2, "u", "é" * 400_000), (3, "u", "<p>x</p>" * 200_000)]
+    assert Counter(tuple(r) for r in warc.rewritten(pages(spark, rows)).drop("url").collect()) == brute(rows)
 
 
 def test_no_rows(spark):
