@@ -20,16 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode one of our own where it is unset; on a
+    cluster that is an error, as executors wouldn't see a folder of the driver's."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    return held.get()
+
+
+def removed(spark: SparkSession) -> None:
+    """Deletes all tables that kept() wrote to the shared folder; for when no result of theirs is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:

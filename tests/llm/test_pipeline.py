@@ -4,6 +4,7 @@ from collections import Counter
 import corpus_pipeline as cp
 import pytest
 from millrace.llm import mixing
+from pyspark.sql import functions as F
 
 from tests.llm.test_tokens import check_packing
 
@@ -51,7 +52,21 @@ def test_stages_of_no_rows(spark, sf_dir):
 
 
 def test_odd_rows_pass_all_stages(spark, sf_dir):
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a " * 30_000, "en", "s", 60_000), (2, "b", "en", "s", 1)], cp.SCHEMA)
-    for _, stage in cp.STAGES[1:]:
-        docs = stage(spark, docs, sf_dir)
-        docs.collect()
+    """Null in any column, empty and very long texts, repeated rows and ids, and columns of clashing names."""
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a " * 30_000, "en", "s", 60_000), (2, "b c", "en", "s", 3), (2, "b c", "en", "s", 3), (None, "no id at all here", None, "s", None)]
+    docs = spark.createDataFrame(rows, cp.SCHEMA).selectExpr("*", "1 as score", "'x' as node", "2 as label", "3 as sketch", "4 as length", "5 as weight", "6 as s")
+    names = list(cp.COLUMNS)
+    good = cp.good_quality(spark, docs, sf_dir)
+    scores = {r.doc_id: r.score for r in cp.quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True)).collect() if r.doc_id == 1}
+    assert good.columns == names and all(0 <= x <= 1 for x in scores.values()) and good.count() <= len(rows)
+    single = cp.without_near_copies(spark, docs, sf_dir)
+    assert single.columns == names and Counter((r.doc_id, r.text) for r in single.collect()) == Counter([(1, None), (None, ""), (2, "a " * 30_000), (2, "b c"), (None, "no id at all here")])
+    clean = cp.without_personal_data(spark, docs, sf_dir)
+    assert clean.columns == names and Counter((r.doc_id, r.text, r.n_chars) for r in clean.collect()) == Counter((i, t or "", len(t or "")) for i, t, *_ in rows)
+    mixed = cp.mixed(spark, docs, sf_dir)
+    assert mixed.columns == names and not Counter(map(tuple, mixed.collect())) - Counter(rows)
+    check_packing([r[:2] for r in rows], cp.packed(spark, docs, sf_dir).collect(), 2048)
+    made = docs
+    for _, stage in cp.STAGES:
+        made = stage(spark, made, sf_dir)
+    assert all(r.length <= 2048 for r in made.collect())

@@ -61,6 +61,38 @@ def test_packing(spark):
     assert len(bins) <= -(-sum(r.length for r in got) // 64) + 2
 
 
+def test_only_its_own_tokenizer(spark):
+    with pytest.raises(ValueError):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_of_all_kinds_equal_the_library():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    lib, ids = Tokenizer.from_file(file), packing.WordIds(file)
+    given = texts(400, 5) + ["ÀÉ×÷ß ÿÜ", "İstanbul K Å ẞ", "ΟΔΟΣ ΣΑΣ", "a«b» ½ ² µ", "don't I'LL WE'RE", "<|startoftext|>x <|", "naïve café " * 50, "¡hola!", "\xad \x7f \x80", "word" * 2000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids(given)] == [lib.encode(t, add_special_tokens=False).ids for t in given]
+
+
+def test_weights_change_the_plan():
+    """Each residual counts: with other weights other sequences are chosen, and as few sequences are enough."""
+    r = random.Random(8)
+    lengths = Counter(min(2048, int(r.lognormvariate(5, 1)) + 1) for _ in range(20_000))
+    least = -(-sum(k * n for k, n in lengths.items()) // 2048)
+    for rule in ("norm", "dot"):
+        plans = [packing.plan(lengths, packing.Limits(rule=rule, weights=w)) for w in ((1, 0, 0), (1, 0.1, 0.1), (1, 5, 0), (1, 0, 5))]
+        assert len({tuple(p) for p in plans}) == 4
+        for p in plans[:2]:
+            assert max(first + n for _, _, n, first, _ in p) <= least + 2
+
+
+def test_packing_of_very_long_texts(spark):
+    rows = [(1, "word " * 60_000), (2, "x" * 20_000), (3, "日本 " * 20_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    check_packing(rows, got, 2048)
+
+
 def test_packing_of_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
