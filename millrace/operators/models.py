@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -35,12 +36,20 @@ class Pace:
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     last: float | None = field(default=None, init=False)
+    lock: threading.Lock = field(default_factory=threading.Lock, init=False, repr=False)
 
     def wait(self) -> None:
         if self.seconds > 0:
-            if self.last is not None and (rest := self.last + self.seconds - self.clock()) > 0:
-                self.sleep(rest)
-            self.last = self.clock()
+            with self.lock:
+                if self.last is not None and (rest := self.last + self.seconds - self.clock()) > 0:
+                    self.sleep(rest)
+                self.last = self.clock()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lock"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"lock": threading.Lock()})
 
 
 def seconds_in(text: str | None) -> float | None:

@@ -55,6 +55,27 @@ def accuracy(comparison: DataFrame) -> DataFrame:
     return comparison.agg(F.count("*").alias("total"), bad.alias("mismatches"), F.coalesce((F.count("*") - bad) / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("accuracy"))
 
 
+def gold_summary(labels: DataFrame, first: int | None = None, pos: str = "post_pos") -> DataFrame:
+    """expected_status, n: of all labels, or of the first so many by place."""
+    rows = labels if first is None else labels.where(F.col(pos).isNotNull()).orderBy(pos).limit(first)
+    return rows.groupBy("expected_status").agg(F.count("*").alias("n"))
+
+
+def mismatches(comparison: DataFrame, key: str = "external_id", most: int = 20) -> DataFrame:
+    """The first mismatches by key, for a report."""
+    return comparison.where("mismatch").orderBy(key).limit(most)
+
+
+def gate(comparison: DataFrame, allowed: int = 0) -> DataFrame:
+    """accuracy() of a comparison, which may have so many mismatches; more are an error that names the first ones."""
+    found = accuracy(comparison)
+    n = found.first().mismatches
+    if n > allowed:
+        key = comparison.columns[0]
+        raise ValueError(f"{n} mismatches, {allowed} allowed: {[tuple(r)[:3] for r in mismatches(comparison, key).collect()]}")
+    return found
+
+
 def dates_compared(outcomes: DataFrame, expected: DataFrame, key: str = "external_id") -> DataFrame:
     """key, same: whether the ordered (start, end) pairs of an outcome are the expected ones (column dates, of the same structs)."""
     own = F.transform("events", lambda e: F.struct(e["start_at"].alias("start_at"), e["end_at"].alias("end_at")))

@@ -5,13 +5,15 @@ The tables hold no Russian posts, so dates are written into texts here from date
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, rules, text
-from millrace.operators import dedup, extract, guards, pipeline, results, snapshot
+from millrace.operators import dedup, extract, guards, merge, pipeline, refine, results, snapshot
 from millrace.operators.storage import kept
-from millrace.schemas import EVENT_TYPES, MONTH_FORMS
+from millrace.schemas import EVENT, EVENT_TYPES, MONTH_FORMS
 
 def _day() -> Column:
     return F.lit("2024-01-01").cast("date")
@@ -377,3 +379,78 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, ts from events order by ts desc, event_id limit 20")
 def recency_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(20)
+
+
+@query("""select case quality when 1 then 'extracted' when 0 then 'skipped' end as expected_status, count(*) as n from (select * from labels order by doc_id limit 500) group by 1""")
+def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "extracted").when(F.col("quality") == 0, "skipped").alias("expected_status"))
+    return results.gold_summary(gold, 500, "doc_id")
+
+
+@query("""select doc_id, status, expected_status from (select doc_id, case when length(text) > 300 then 'extracted' else 'skipped' end as status, case quality when 1 then 'extracted' when 0 then 'skipped' end as expected_status
+    from documents left join labels using (doc_id)) where status is distinct from expected_status order by doc_id limit 20""")
+def mismatch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 300, "extracted").otherwise("skipped").alias("status"))
+    gold = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "extracted").when(F.col("quality") == 0, "skipped").alias("expected_status"))
+    return results.mismatches(results.compared(outcomes, gold, "doc_id"), "doc_id").select("doc_id", "status", "expected_status")
+
+
+@query("""with t as (select c_custkey as k, c_mktsegment = 'BUILDING' as kind from customer)
+    select a.k as a, b.k as b from t a join t b on a.k < b.k and a.k % 300 = b.k % 300 and a.kind = b.kind""")
+def semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' events that share a link (spelt in two ways) and a day; a pair needs a common type as well, as texts differ."""
+    none = F.lit(None).cast("string")
+    link = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("HTTP://t.example:80/"), F.col("c_custkey") % 300, F.lit("/?utm_source=x"))).otherwise(F.concat(F.lit("https://T.example/"), F.col("c_custkey") % 300))
+    at = F.date_add(_day(), (F.col("c_custkey") % 50).cast("int")).cast("timestamp_ntz")
+    events = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("event_pos"), F.concat(F.lit("Клуб "), "c_custkey").alias("title"), none.alias("description"), at.alias("start_at"), at.alias("end_at"), F.when(F.col("c_mktsegment") == "BUILDING", "Festival").otherwise("MusicEvent").alias("event_type"),
+        none.alias("address"), none.alias("venue_name"), F.concat(link, F.lit(" слово"), "c_custkey").alias("prompt_text"),
+    )
+    return dedup.semantic_pairs(events)
+
+
+@query("""with k as (select user_id, event_type, min(-epoch_us(ts)) as since from events where event_type <> 'click' group by 1, 2)
+    select user_id, string_agg(event_type, ',' order by since, event_type) as selected, count(*) as n from k group by 1""")
+def merge_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier versions of each user's event: one for each kind of event, the latest first; clicks are covered already."""
+    rows = _table(spark, sf_dir, "events")
+    fields = F.struct(*[(F.col("event_type") if c == "description" else F.lit(None).cast(EVENT[c].dataType)).alias(c) for c in merge.FIELDS])
+    version = F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), F.col("event_type").alias("pos"), F.col("event_type").alias("key"), F.array().cast("array<string>").alias("sources"), fields.alias("fields"))
+    found = rows.groupBy("user_id").agg(F.collect_list(version).alias("v")).withColumn("x", merge.unmerged(F.col("v"), F.array(F.lit("click"))))
+    return found.where(F.size("x.selected") > 0).select("user_id", F.array_join(F.transform("x.selected", lambda s: s["description"]), ",").alias("selected"), F.size("x.selected").cast("long").alias("n"))
+
+
+class _Clerk:
+    """A model that answers by rules: main answers of three kinds, of which one needs a repair, and refined titles and types."""
+
+    def complete(self, system: str, user: str) -> str:
+        asked = json.loads(user)
+        n = int(asked["text"].split(" ")[1])
+        if system == refine.TITLE_PROMPT:
+            return json.dumps({"title": f"Клуб {n}", "description": f"№ {n}"} if n % 4 else {"title": "Another", "description": None})
+        if system == refine.TYPE_PROMPT:
+            return json.dumps({"event_type": "Festival" if n % 2 else "none"})
+        end = "2024-05-01T10:00:00" if n % 5 == 0 and "errors" not in asked else "2024-06-05T20:00:00" if n % 15 else "2024-05-02T10:00:00"
+        if n % 7 == 0:
+            return json.dumps({"is_event": False, "skip_reason": "vacancy"})
+        return json.dumps({"is_event": True, "event": {"title": f"Вечер {n}", "description": "old", "start_at": "2024-06-05T18:00:00", "end_at": end, "event_type": "SocialEvent" if n % 3 else "odd"}})
+
+
+@query("""with c as (select c_custkey as n from customer)
+    select n as outcome_index, case when n % 7 = 0 then 'skipped' when n % 15 = 0 then 'invalid' else 'extracted' end as status,
+        case when n % 7 = 0 or n % 15 = 0 then null when n % 4 <> 0 then 'Клуб ' || n else 'Вечер ' || n end as title,
+        case when n % 7 = 0 or n % 15 = 0 then null when n % 4 <> 0 then '№ ' || n end as description,
+        case when n % 7 = 0 or n % 15 = 0 then null when n % 2 = 1 then 'Festival' else 'SocialEvent' end as event_type,
+        case when n % 7 = 0 then 1 when n % 5 = 0 then 6 else 3 end as attempts from c""")
+def model_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' notices through a model's main answer, the repair of ends before starts, and both refinements."""
+    none = F.lit(None).cast("string")
+    posts = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("post_pos"), F.concat(F.lit("Клуб "), "c_custkey", F.lit(" ждет гостей")).alias("text"), none.alias("raw_text"), F.col("c_mktsegment").alias("source_name"), none.alias("source_url"),
+        F.lit("2024-05-01T00:00:00").alias("published_at"), F.concat(F.lit("vk:wall-1_"), "c_custkey").alias("external_id"), F.lit(False).alias("is_pinned"),
+    )
+    settings = pipeline.Settings(title_model="titles", type_model="types", skip_event_duplicates=False)
+    found = pipeline.extract_batch(posts, pipeline.Models(_Clerk), settings, today=_day(), now="2024-05-01T00:00:00").outcomes
+    at = lambda c: F.try_element_at("events", F.lit(1))[c].alias(c)
+    attempts = F.size(F.from_json(F.get_json_object("metadata", "$.llm_attempts"), "array<struct<stage:string>>")).cast("long")
+    return found.select("outcome_index", "status", at("title"), at("description"), at("event_type"), attempts.alias("attempts"))

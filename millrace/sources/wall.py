@@ -32,9 +32,14 @@ EMOJI = re.compile("[\U0001f1e6-\U0001f1ff\U0001f300-\U0001f5ff\U0001f600-\U0001
 
 
 class WallError(Exception):
-    def __init__(self, message: str, code: int | None = None, retryable: bool = False, source: str | None = None):
+    """A call that failed: the service's code and details, the method called and the wall, and whether trying again may help."""
+
+    def __init__(self, message: str, code: int | None = None, retryable: bool = False, source: str | None = None, method: str | None = None, details: dict | None = None):
         super().__init__(message)
-        self.code, self.retryable, self.source = code, retryable, source
+        self.code, self.retryable, self.source, self.method, self.details = code, retryable, source, method, details or {}
+
+    def __reduce__(self):
+        return type(self), (str(self), self.code, self.retryable, self.source, self.method, self.details)
 
 
 @dataclass(frozen=True)
@@ -128,13 +133,13 @@ class WallClient:
                 if "error" not in body:
                     return body["response"]
                 code = body["error"].get("error_code")
-                failed = WallError(body["error"].get("error_msg", "error"), code, code in AGAIN)
+                failed = WallError(body["error"].get("error_msg", "error"), code, code in AGAIN, method=method, details=body["error"])
             except urllib.error.HTTPError as e:
-                failed = WallError(f"HTTP {e.code}", e.code, e.code == 429 or e.code >= 500)
+                failed = WallError(f"HTTP {e.code}", e.code, e.code == 429 or e.code >= 500, method=method)
                 if (said := (e.headers or {}).get("Retry-After")) is not None:
                     wait = float(said) if re.fullmatch(r"\d+(\.\d+)?", said) else 0.0
             except (urllib.error.URLError, TimeoutError) as e:
-                failed = WallError(str(e), retryable=True)
+                failed = WallError(str(e), retryable=True, method=method)
             except ValueError as e:
                 raise WallError("an answer that is no JSON") from e
             if not failed.retryable or last:

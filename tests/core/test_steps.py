@@ -4,7 +4,7 @@ import json
 from datetime import datetime
 
 import pytest
-from millrace.operators import extract, merge, models, pipeline, refine, snapshot
+from millrace.operators import extract, merge, models, pipeline, refine, results, snapshot
 from millrace.schemas import POST
 from millrace.sources import posts as post_files
 from millrace.sources import wall
@@ -195,6 +195,29 @@ def test_repeated_runs_of_a_pipeline(spark, tmp_path):
         pipeline.Pipeline(Given(spark.createDataFrame([("a",)], "text string")), pipeline.Models(lambda: model)).run(spark)
 
 
+def test_labels_and_a_gate(spark):
+    """A status without label is a mismatch; more mismatches than allowed are an error."""
+    outcomes = spark.createDataFrame([("a", "extracted"), ("b", "skipped"), ("c", "skipped")], "external_id string, status string")
+    gold = spark.createDataFrame([(0, "a", "extracted"), (1, "b", "extracted"), (2, "x", "skipped")], "post_pos long, external_id string, expected_status string")
+    found = results.compared(outcomes, gold)
+    assert [r.external_id for r in results.mismatches(found).collect()] == ["b", "c"] and results.mismatches(found, most=1).count() == 1
+    assert results.gate(found, 2).first().mismatches == 2
+    with pytest.raises(ValueError, match="2 mismatches, 1 allowed"):
+        results.gate(found, 1)
+    assert {tuple(r) for r in results.gold_summary(gold, 2).collect()} == {("extracted", 2)}
+
+
+def test_errors_of_walls_keep_what_the_service_said():
+    import pickle
+
+    said = wall.WallClient("t", pace=models.Pace(), get=lambda url, timeout: json.dumps({"error": {"error_code": 15, "error_msg": "denied", "extra": 1}}))
+    with pytest.raises(wall.WallError) as e:
+        said.call("wall.get", {})
+    again = pickle.loads(pickle.dumps(e.value))
+    assert (again.code, again.method, again.details["extra"], str(again)) == (15, "wall.get", 1, "denied")
+    assert pickle.loads(pickle.dumps(models.Pace(2.0))).seconds == 2.0
+
+
 def test_walls_split_into_posts_and_errors(spark):
     rows = spark.createDataFrame([(1, 0, "b", None, "w", None, None, "i3", False, None), (0, 0, "a", None, "v", None, None, "i1", False, None), (0, 1, "c", None, "v", None, None, "i2", True, None), (2, 0, None, None, "x", None, None, None, None, "5: denied")], wall.SCHEMA)
     found, errors = wall.split(rows)
