@@ -112,10 +112,27 @@ def range_end(text: Column, start: Column) -> Column:
     return F.coalesce(*tried)
 
 
+def _extended(c: Column) -> Column:
+    """ISO stamps in their basic form or by weeks, as calendar dates with hyphens and colons."""
+    c = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    c = F.regexp_replace(c, r"^([^T ]{10}[T ])(\d{2})(\d{2})(?:(\d{2}(?:[.,]\d+)?))?$", "$1$2:$3:$4")
+    c = F.regexp_replace(F.regexp_replace(c, ":$", ""), r"(:\d{2}),(\d+)$", "$1.$2")
+    part = lambda k: F.regexp_extract(c, r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])", k)
+    fourth = F.make_date(part(1).try_cast("int"), F.lit(1), F.lit(4))
+    week, day = part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(1))
+    # the week of 4 January is the first; the last one is that of 28 December
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    last = F.weekofyear(F.make_date(part(1).try_cast("int"), F.lit(12), F.lit(28)))
+    dated = F.date_add(monday, (week - 1) * 7 + day - 1).cast("string")
+    rest = F.regexp_extract(c, "^[^T ]*(.*)$", 1)
+    return F.when(part(1) == "", c).when((week >= 1) & (week <= last), F.concat(dated, rest))
+
+
 def local_time(c: Column) -> Column:
     """An ISO stamp's wall time, whatever its offset; null if it is none."""
-    bare = F.regexp_replace(c, r"([T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?:Z|[+-]\d{2}:?\d{2})$", "$1")
-    return F.when(bare.rlike(ISO), bare.try_cast("timestamp_ntz"))
+    bare = F.regexp_replace(c, r"([T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?)(?:Z|[+-]\d{2}(?::?\d{2})?)$", "$1")
+    whole = _extended(bare)
+    return F.when(whole.rlike(ISO), whole.try_cast("timestamp_ntz"))
 
 
 def unix_to_iso(c: Column) -> Column:

@@ -74,15 +74,29 @@ def without_urls(c: Column) -> Column:
     return F.regexp_replace(c, URL, " ")
 
 
+def _encoded(c: Column) -> Column:
+    """As in a form, with ~ as it is and * not."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def _decoded(c: Column) -> Column:
+    # a sign of percent that starts no byte stands for itself
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def normalize_url(c: Column) -> Column:
-    """https, host in lower case, no default port, trailing slash, fragment or tracking; query parameters in order. Null if no URL."""
-    c = F.regexp_replace(c, r"[.,;:!?]+$", "")
-    at = lambda k: F.regexp_extract(c, r"^(?i)(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$", k)
-    host = F.regexp_replace(F.lower(at(2)), F.when(F.lower(at(1)) == "http", F.lit(r":80$")).otherwise(F.lit(r":443$")), F.lit(""))
-    path = F.regexp_replace(at(3), "/+$", "")
-    query = F.array_sort(F.filter(F.split(at(4), "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^[^=]*", 0).rlike(TRACKING)))
+    """https, host in lower case without user and default port, no trailing slash, fragment or tracking; query parameters in order,
+    decoded and encoded anew. Null if no URL."""
+    c = F.regexp_replace(c, r"[.,;:!?)\]}»\"]+$", "")
+    at = lambda k: F.regexp_extract(c, r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d{0,5}))?(?![^/?#])([^?#]*)(?:\?([^#]*))?(?:#.*)?$", k)
+    port = F.coalesce(at(3).try_cast("int"), F.when(F.lower(at(1)) == "http", 80).otherwise(443))
+    usual = F.when(F.lower(at(1)) == "http", 80).otherwise(443)
+    host = F.concat(F.lower(at(2)), F.when(port == usual, "").otherwise(F.concat(F.lit(":"), port.cast("string"))))
+    path = F.regexp_replace(at(4), "/+$", "")
+    pairs = F.transform(F.filter(F.split(at(5), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.regexp_extract(p, "^[^=]*", 0)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    query = F.transform(F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING))), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
     whole = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
-    return F.when(at(2) != "", whole)
+    return F.when((at(2) != "") & (port <= 65535), whole)
 
 
 def urls(*texts: Column) -> Column:

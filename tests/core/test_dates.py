@@ -35,3 +35,17 @@ def test_local_times_and_instants(spark):
     df = spark.createDataFrame([("2026-06-05T18:00:00+04:00",), ("2026-06-05T18:00:00Z",), ("2026-06-05",), ("soon",)], "t string")
     assert [r[0] for r in df.select(dates.local_time(F.col("t"))).collect()] == [datetime(2026, 6, 5, 18), datetime(2026, 6, 5, 18), datetime(2026, 6, 5), None]
     assert [r[0] for r in df.select(dates.published_at_utc(F.col("t")).cast("string")).collect()] == ["2026-06-05 14:00:00", "2026-06-05 18:00:00", "2026-06-05 00:00:00", None]
+
+
+def test_iso_stamps_are_read_as_by_the_standard_library(spark):
+    given = ["2026-06-05", "20260605", "2026-W23-5", "2026W235", "2026-W23", "2026-W54-1", "2020-W53-7", "2026-06-05T18", "2026-06-05T18:30", "20260605T1830", "20260605T183059", "2026-06-05 18:30:59.25", "2026-06-05T18:30:59,5", "2026-W01-1T10:00", "2026-13-01", "2026-02-30", "2026-6-5", "2026", "junk", "2026-06-05T24:61"]
+    stamps = given + [g + z for g in given[7:13] for z in ("Z", "+03:00", "-05")]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in stamps], "t string").select(dates.local_time(F.col("t"))).collect()]
+
+    def read(t):
+        try:
+            return datetime.fromisoformat(t).replace(tzinfo=None)
+        except ValueError:
+            return None
+
+    assert dict(zip(stamps, got, strict=True)) == {t: read(t) for t in stamps}

@@ -164,6 +164,11 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("5 июня 🎉\n в 18:00 пройдет  лекция .",)], "t string")
     assert df.select(text.clean(F.col("t"))).first()[0] == "5 июня в 18:00 пройдет лекция."
     assert df.select(text.normalize_url(F.lit("HTTP://Tickets.Example:80/show/?utm_source=a&event=42#x."))).first()[0] == "https://tickets.example/show?event=42"
+    urls = {
+        "http://u:p@H.ex:8080/a/b/?b=%D0%B0+x&a=1&a=0&FBCLID=3&c&=v&d=%7E*%zz).": "https://h.ex:8080/a/b?=v&a=0&a=1&b=%D0%B0+x&c=&d=~%2A%25zz", "https://h:443": "https://h/", "http://h:443/x": "https://h:443/x", "https://h:99999/": None, "https://h:/y": "https://h/y", "ftp://h/": None, "https://": None, "https://h:x/": None,
+    }
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", text.normalize_url(F.col("u")).alias("n")).collect()
+    assert {r.u: r.n for r in got} == urls
     assert df.select(text.tokens(F.lit("Концерт в Ёлке и ёлка"))).first()[0] == ["елке", "елка"]
     assert df.select(text.tokens(F.lit("концерт"))).first()[0] == ["концерт"]
 
