@@ -34,10 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(spark: SparkSession) -> None:
     """Deletes all tables that kept() wrote to the shared folder; for when no result of theirs is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    deleted(spark, f"{shared_dir(spark)}/millrace")
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:

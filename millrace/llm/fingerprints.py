@@ -6,7 +6,8 @@ containment (how much of the first lies in the second) and a set's size. Up to k
 
 Shingle hashes come from word hashes by doubling: hashes of two words, of four, then of five, so that no shingle's text is built.
 Words are runs of other signs than ASCII white space, in lower case; a text of fewer words than a shingle is one shingle, one
-without words has an empty sketch, which resembles empty ones fully and others not at all. Null text counts as empty.
+without words has an empty sketch, which resembles empty ones fully and others not at all. Null text counts as empty. Repeated rows
+are sketched each, and rows of one id follow each other by text. An empty table gives no rows.
 """
 
 from __future__ import annotations

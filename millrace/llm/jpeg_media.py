@@ -9,7 +9,7 @@ removes stuffing, and advances all segments of a whole batch of images together,
 numpy. Luminance is the first component: a DC value times its quantiser over 8, plus 128, is the mean of a block, which is a
 pixel of the thumbnail. No inverse transform is done.
 
-Null text counts as empty: one block of zero bytes. Repeated rows are stored each. Further columns are ignored.
+Null text counts as empty: one block of zero bytes. Repeated rows are stored each. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ length fill the sequences of a class at once, as if dealt one by one. The plan i
 numbered from here at that offset. Its size depends on the sequence length, not on the corpus. Pieces then find their place by
 their rank among those of their length: a running number within the task that made them, plus the counts of earlier tasks.
 
-Null text counts as empty: one piece of the end id. Repeated rows and equal doc_ids are packed each. An empty table gives no
+Pieces of one length differ in nothing that counts; they are dealt by task and by row. Of sequences that are equally good, those
+of the state that came up first are taken. Null text counts as empty: one piece of the end id. Repeated rows and equal doc_ids are packed each. An empty table gives no
 rows. Further columns of the input are ignored.
 """
 

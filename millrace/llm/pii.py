@@ -11,7 +11,8 @@ candidates; a loose candidate that it gives at least `least` is added. Valid str
 The texts are read twice, row by row, with no shuffle of theirs: once for the counts, once for the spans. The driver gets the
 classifier's weights, a few dozen numbers a kind.
 
-Null text counts as empty: no spans. Repeated rows are marked each. An empty table gives no rows. Of further columns, those of
+Null text counts as empty: no spans. Candidates of equal votes and features have equal probabilities, and so are added or left out
+together. Repeated rows are marked each. An empty table gives no rows. Of further columns, those of
 `keep` stay.
 """
 

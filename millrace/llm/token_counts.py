@@ -7,7 +7,10 @@ of a character that the vocabulary lacks. Documents then add up the counts of th
 Cut into words: no piece of such a vocabulary has a space mark after another character, so merges never cross the start of
 a run of marks. load() checks this and the model's kind, and raises where it doesn't hold.
 
-Null text counts as empty: 0 tokens. Repeated rows are counted each. Further columns of the input are ignored.
+Words of more than LONG characters go through a heap instead, one pair at a time: the arrays' rounds would cost the square of such
+a length. The counts are the same.
+
+Null text counts as empty: 0 tokens. Repeated rows are counted each. An empty table gives no rows. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
