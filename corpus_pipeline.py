@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, near_dup, packing, pii, quality
-from millrace.llm.common import fold_column, shared_dir, table
+from millrace.llm.common import deleted, fold_column, shared_dir, table
 from millrace.llm.queries import QUALITY_LEAST
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -76,4 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = stage(spark, docs, sf_dir)
         made.write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(made.schema).parquet(f"{folder}/{k}")
+        if k:
+            # the stage before isn't read again
+            deleted(spark, f"{folder}/{k - 1}")
     return docs
