@@ -55,7 +55,8 @@ def merged(events: DataFrame, ask: Ask, model: str) -> DataFrame:
     at = F.coalesce(-F.unix_micros("published_ts"), F.lit(2**62))
     fields = F.struct(*[F.col(c) for c in FIELDS])
     old = events.where("duplicate_of is not null").select(F.col("duplicate_of").alias("event_pos"), F.struct(at.alias("at"), F.col("event_pos").alias("pos"), key.alias("key"), sources.alias("sources"), fields.alias("fields")).alias("v"))
-    old = old.groupBy("event_pos").agg(F.collect_list("v").alias("_previous"))
+    # of one source only the latest version can be taken, so a group's copies of a post don't meet
+    old = old.groupBy("event_pos", F.col("v.key").alias("_key")).agg(F.min("v").alias("v")).groupBy("event_pos").agg(F.collect_list("v").alias("_previous"))
     rows = events.join(old, "event_pos", "left")
     rows = rows.withColumn("_take", F.when(F.col("_previous").isNotNull(), unmerged(F.col("_previous"), sources))).drop("_previous")
     fresh = F.struct(*[F.col(c) for c in EVENT.names])
