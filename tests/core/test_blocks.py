@@ -47,3 +47,11 @@ def test_a_pair_comes_once_however_it_is_found(spark, monkeypatch):
     both = facts.toDF("a", "x").crossJoin(facts.toDF("b", "y")).where("a < b")
     want = Counter(tuple(r) for r in both.where(dedup.rules.need_semantic_check(F.col("x"), F.col("y"))).select("a", "b").collect())
     assert len(want) > 30 and Counter(tuple(r) for r in dedup.semantic_pairs(made).collect()) == want
+
+
+def test_pairs_of_equal_titles_come_out_of_blocks(spark):
+    part = spark.createDataFrame([(k, ("large ring", "large ring bolt", "hot plate")[k % 3], 1) for k in range(1500)], "p_partkey long, p_name string, p_size int")
+    found, rows = shuffled(spark, lambda: dedup.duplicate_pairs(catalog._titled(part), n=F.size("x.title_set") + F.size("y.title_set")).where("a < b").select("a", "b", "n").collect())
+    want = {(a, b): 4 + (a % 3 == 1) + (b % 3 == 1) for a in range(1500) for b in range(a + 1, 1500) if (a % 3 == 2) == (b % 3 == 2)}
+    assert len(found) == len(want) and {(r.a, r.b): r.n for r in found} == want
+    assert rows < 50_000
