@@ -55,3 +55,21 @@ def test_pairs_of_equal_titles_come_out_of_blocks(spark):
     want = {(a, b): 4 + (a % 3 == 1) + (b % 3 == 1) for a in range(1500) for b in range(a + 1, 1500) if (a % 3 == 2) == (b % 3 == 2)}
     assert len(found) == len(want) and {(r.a, r.b): r.n for r in found} == want
     assert rows < 50_000
+
+
+def test_places_are_compared_once_for_many_rows(spark, tmp_path):
+    for name, n, key, nation in (("supplier", 300, "s_suppkey", "s_nationkey"), ("customer", 1500, "c_custkey", "c_nationkey")):
+        spark.range(n).select(F.col("id").alias(key), F.when(F.col("id") % 10 != 0, F.col("id") % 2).alias(nation)).write.parquet(f"{tmp_path}/{name}.parquet")
+    found, rows = shuffled(spark, lambda: catalog.location_similarity(spark, str(tmp_path)).collect())
+    want = {(s, c): s % 7 == c % 7 or s % 5 == c % 7 for s in range(300) for c in range(1500) if s % 10 and c % 10 and s % 2 == c % 2}
+    assert len(found) == len(want) and {(r.s_suppkey, r.c_custkey): r.near for r in found} == want and rows < 20_000
+    # words of places are found before rows meet
+    plan = catalog.location_similarity(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[: plan.index("Join ")]
+
+
+def test_similar_places_with_nulls(spark):
+    halls = [(0, 1, "Зал Б", None), (1, 1, None, "большой зал б"), (2, 1, None, None), (3, None, "Зал Б", None), (4, 1, "Клуб", "Зал Б")]
+    at = spark.createDataFrame(halls, "pos long, nation int, address string, venue_name string")
+    found = {(r.p, r.q): r.near for r in dedup.located_pairs(at, at, "nation").collect()}
+    assert found == {(p, q): 2 not in (p, q) for p in (0, 1, 2, 4) for q in (0, 1, 2, 4)}
