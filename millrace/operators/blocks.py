@@ -19,7 +19,8 @@ def tasks(df: DataFrame) -> int:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df in as many tasks as the session takes, for steps that are long for few bytes."""
-    return df.repartition(tasks(df), key)
+    # by a hash of its own: where rows lie by key already, Spark would leave this out and join their partitions after all
+    return df.repartition(tasks(df), F.xxhash64(key))
 
 
 def numbered(rows: DataFrame, pos: str, keys: list[str], width: int = BLOCK) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import dates, rules, text
+from millrace.operators import blocks
 from millrace.operators.guards import eligible, with_limits
+from millrace.operators.storage import kept
 from millrace.schemas import ATTENDANCE_TYPES, EVENT, EVENT_TYPES, INDUSTRIES, MERGE, PAYLOAD, ROLES, SKIP_REASONS
 
 RESPONSE = T.StructType([T.StructField("is_event", T.StringType()), T.StructField("skip_reason", T.StringType()), T.StructField("event", PAYLOAD), T.StructField("events", T.ArrayType(PAYLOAD))])
@@ -125,7 +127,8 @@ def outcomes(answered: DataFrame, today: Column | None = None, max_errors: int |
     """outcome_index, status, events, post columns, errors of each post (post_pos, the post's columns, prompt_text, guard, first_pos,
     response, error), without the model's further steps."""
     today = F.current_date() if today is None else today
-    return limited(judged(expanded(parsed(answered), today), today), max_errors)
+    # written, as the daily latch is looked up first and would judge all rows once more
+    return limited(kept(judged(expanded(parsed(blocks.spread(answered, "post_pos")), today), today)), max_errors)
 
 
 def validated(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, text
+from millrace.operators import blocks
 
 
 def prompt_text(raw: str = "raw_text", plain: str = "text") -> Column:
@@ -35,7 +36,7 @@ def first_occurrences(posts: DataFrame, skip_empty: bool = True, skip_duplicates
 def guarded(posts: DataFrame, today: Column | None = None, skip_empty: bool = True, skip_duplicates: bool = True) -> DataFrame:
     """posts with prompt_text, first_pos, and guard: why no model is asked, or null. Words of the text come after repeats."""
     today = F.current_date() if today is None else today
-    posts = first_occurrences(posts, skip_empty, skip_duplicates)
+    posts = blocks.spread(first_occurrences(posts, skip_empty, skip_duplicates), "post_pos")
     return posts.withColumn("guard", F.coalesce("repeat", rules.skip_reason(F.col("prompt_text"), today))).drop("repeat")
 
 

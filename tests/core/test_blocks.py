@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup
+from millrace.operators import dedup, extract, guards
 from millrace.plans import catalog
 
 
@@ -73,3 +73,11 @@ def test_similar_places_with_nulls(spark):
     at = spark.createDataFrame(halls, "pos long, nation int, address string, venue_name string")
     found = {(r.p, r.q): r.near for r in dedup.located_pairs(at, at, "nation").collect()}
     assert found == {(p, q): 2 not in (p, q) for p in (0, 1, 2, 4) for q in (0, 1, 2, 4)}
+
+
+def test_guards_and_outcomes_are_spread_and_judged_once(spark):
+    posts = catalog._posts(spark, "/root/testdata/sf0.001")
+    assert guards.guarded(posts, F.lit("2024-01-01").cast("date")).select("guard").rdd.getNumPartitions() == 4
+    answered = guards.guarded(posts, F.lit("2024-01-01").cast("date")).withColumns({"response": F.lit('{"is_event": false}'), "error": F.lit(None).cast("string")})
+    plan = extract.outcomes(answered, F.lit("2024-01-01").cast("date"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "Join" not in plan
