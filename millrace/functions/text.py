@@ -59,7 +59,11 @@ def containment(a: Column, b: Column) -> Column:
 
 def title_supported(title: Column, raw: Column, least: float = 0.5) -> Column:
     """Whether enough of the title's tokens occur in the text."""
-    t, r = tokens(title), tokens(raw)
+    return tokens_supported(tokens(title), tokens(raw), least)
+
+
+def tokens_supported(t: Column, r: Column, least: float = 0.5) -> Column:
+    """title_supported() of the token sets of a title and a text."""
     return F.when(F.size(t) > 0, F.size(F.array_intersect(t, r)) / F.size(t) >= least).otherwise(F.lit(False))
 
 

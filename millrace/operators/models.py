@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import blocks
 from millrace.operators.storage import kept
 
 ANSWERS = "prompt_key string, response string, error string"
@@ -173,6 +174,7 @@ def answers(prompts: DataFrame, model_of: Callable[[], object], stored: DataFram
                 rows.append((key, response, error))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, ["prompt_key", "response", "error"])
 
-    prompts = prompts.repartition(tasks, "prompt_key") if tasks else prompts
+    # else Spark would join partitions of few bytes, however long a model takes for them
+    prompts = prompts.repartition(tasks, "prompt_key") if tasks else blocks.spread(prompts, "prompt_key")
     asked = kept(prompts.sortWithinPartitions("at").select("prompt_key", "system", "user").mapInArrow(ask, ANSWERS))
     return known.unionByName(asked) if stored is not None else asked

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime, timedelta
 from functools import cached_property
 from typing import Protocol
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, text
-from millrace.operators import dedup, extract, guards, merge, models, refine, results, snapshot
+from millrace.operators import blocks, dedup, extract, guards, merge, models, refine, results, snapshot
 from millrace.operators.storage import kept
 from millrace.schemas import ATTEMPTS, EVENT, MERGE, POST, require
 
@@ -125,7 +125,8 @@ def finished(outcomes: DataFrame, settings: Settings, asked: Models | None = Non
     events = kept(numbered_events(outcomes))
     if not settings.skip_event_duplicates:
         return Result(outcomes, events.withColumns({"group_pos": F.col("event_pos"), "duplicate_of": F.lit(None).cast("long")}), settings)
-    decide = same_event(events, asked.ask(settings), settings) if asked and semantic else None
+    # one prompt at a time, so one task
+    decide = same_event(events, asked.ask(replace(settings, tasks=1)), settings) if asked and semantic else None
     events = dedup.deduplicated(events, decide, settings.semantic_checks)
     if asked and settings.merge_event_duplicates:
         events = kept(merge.merged(kept(events), asked.ask(settings), settings.model))
@@ -144,7 +145,7 @@ def attempt(rows: DataFrame, asked: Models, settings: Settings, today: Column, n
     system, user = F.lit(extract.system_prompt()), extract.user_prompt(F.lit(now), F.to_json("_errors") if repair else None)
     keyed = kept(rows.withColumn("_user", user).withColumn("prompt_key", models.prompt_key(system, F.col("_user"), settings.model)))
     found = asked.ask(settings)(keyed.select("prompt_key", system.alias("system"), F.col("_user").alias("user"), F.col("post_pos").alias("at")), extract.response_schema())
-    df = extract.parsed(keyed.join(found, "prompt_key", "left").drop("prompt_key", "_user"))
+    df = extract.parsed(blocks.spread(keyed.join(found, "prompt_key", "left").drop("prompt_key", "_user"), "post_pos"))
     failed = F.when(F.col("problem").isin("llm_error", "daily_rate_limit_exceeded"), F.coalesce("error", F.lit("error: not a JSON object")))
     one = F.array(F.struct(F.lit(stage).alias("stage"), F.lit(settings.model).alias("model"), failed.isNull().alias("success"), failed.alias("error"))).cast(ATTEMPTS)
     df = extract.expanded(df.withColumn("attempts", F.concat("attempts", one) if repair else one), today)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import models
+from millrace.operators import blocks, models
 from millrace.operators.storage import kept
 from millrace.schemas import EVENT_TYPES, PAYLOAD
 
@@ -47,7 +47,7 @@ def _asked(rows: DataFrame, ask: Ask, schema: dict, stage: str, model: str, syst
     user = F.to_json(F.struct(F.col("p").alias("draft"), F.col("prompt_text").alias("text")), {"ignoreNullFields": "false"})
     keyed = kept(rows.withColumn("_user", user).withColumn("prompt_key", F.when(wanted, models.prompt_key(F.lit(system), F.col("_user"), model))))
     found = ask(keyed.where("prompt_key is not null").select("prompt_key", F.lit(system).alias("system"), F.col("_user").alias("user"), F.col("post_pos").alias("at")), schema)
-    joined = keyed.join(found, "prompt_key", "left")
+    joined = blocks.spread(keyed.join(found, "prompt_key", "left"), "post_pos")
     wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("prompt_key").isNotNull() & ~is_object(F.col("response")), "error: not a JSON object")
     joined = joined.withColumn("failed", wrong)
     one = F.array(F.struct(F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.col("failed").isNull().alias("success"), F.col("failed").alias("error")))
@@ -60,14 +60,17 @@ def title_step(rows: DataFrame, ask: Ask, model: str) -> DataFrame:
     is left out or null takes the old one away."""
     own = F.when(text.is_missing(F.col("p.title")), text.infer_title(F.col("prompt_text"))).otherwise(text.strip(F.col("p.title")))
     rows = _asked(rows.withColumn("p", F.col("p").withField("title", own)), ask, title_schema(), TITLE_STEP, model, TITLE_PROMPT, ~F.col("daily"))
-    title = text.blank_to_null(string_at(F.col("response"), "$.title"))
-    good = F.coalesce(title.isNotNull() & text.title_supported(title, F.col("prompt_text")), F.lit(False))
-    kind = F.coalesce(kind_at(F.col("response"), "$.description"), F.lit("VOID"))
+    # columns of their own, as what is named several times in one expression is computed as often
+    rows = rows.withColumns({"_said": string_at(F.col("response"), "$.title"), "_kind": F.coalesce(kind_at(F.col("response"), "$.description"), F.lit("VOID"))})
+    rows = rows.withColumns({"_title": text.strip(F.col("_said")), "_about": F.when(F.col("_kind") == "STRING", text.strip(F.try_variant_get(F.try_parse_json("response"), "$.description", "string")))})
+    rows = rows.withColumns({"_title": F.nullif("_title", F.lit("")), "_tokens": text.tokens(F.col("_title")), "_words": text.tokens(F.col("prompt_text"))})
+    rows = rows.withColumn("_good", F.coalesce(F.col("_title").isNotNull() & text.tokens_supported(F.col("_tokens"), F.col("_words")), F.lit(False)))
+    title, kind, good = F.col("_title"), F.col("_kind"), F.col("_good")
     new = F.col("p").withField("title", F.when(good, title).otherwise(F.col("p.title")))
-    new = new.withField("description", F.when(kind == "VOID", F.lit(None).cast("string")).when(kind == "STRING", text.strip(string_at(F.col("response"), "$.description"))).otherwise(F.col("p.description")))
+    new = new.withField("description", F.when(kind == "VOID", F.lit(None).cast("string")).when(kind == "STRING", F.col("_about")).otherwise(F.col("p.description")))
     done = F.col("prompt_key").isNotNull() & F.col("failed").isNull()
     status = F.when(F.col("failed").isNotNull(), "failed").when(done & good, "completed").when(done, "rejected")
-    return rows.withColumns({"title_status": status, "p": F.when(done, new).otherwise(F.col("p"))}).drop("prompt_key", "response", "failed")
+    return rows.withColumns({"title_status": status, "p": F.when(done, new).otherwise(F.col("p"))}).drop("prompt_key", "response", "failed", "_said", "_kind", "_title", "_about", "_tokens", "_words", "_good")
 
 
 def type_step(rows: DataFrame, ask: Ask, model: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from collections import Counter
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup, extract, guards
+from millrace.operators import dedup, extract, guards, models
 from millrace.plans import catalog
 
 
@@ -81,3 +82,16 @@ def test_guards_and_outcomes_are_spread_and_judged_once(spark):
     answered = guards.guarded(posts, F.lit("2024-01-01").cast("date")).withColumns({"response": F.lit('{"is_event": false}'), "error": F.lit(None).cast("string")})
     plan = extract.outcomes(answered, F.lit("2024-01-01").cast("date"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and "Join" not in plan
+
+
+class Teller:
+    """Answers with the task that asks."""
+
+    def complete(self, system, user):
+        return str(TaskContext.get().partitionId())
+
+
+def test_models_are_asked_in_many_tasks(spark):
+    prompts = spark.createDataFrame([(f"k{k}", "s", f"u{k}") for k in range(64)], "prompt_key string, system string, user string")
+    found = models.answers(prompts, Teller).collect()
+    assert len(found) == 64 and len({r.response for r in found}) == 4
